@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing
-from loomgraph.llm.common import documents, word_count
+from loomgraph.llm import language, mixing, quality
+from loomgraph.llm.common import documents, held_out, word_count
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 4, 2)
+    names, logp = language.learn(docs, ~held)
+    return language.predict(docs, names, logp, keep=[F.col("doc_id"), held.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score", "lang_set")
+
+
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.references(docs))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +53,11 @@ SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(size
 
 
 def queries() -> dict:
-    return {"op10_mix_sources": op10_mix_sources}
+    return {
+        "op6_language_mixture": op6_language_mixture,
+        "op8_quality_divergence": op8_quality_divergence,
+        "op10_mix_sources": op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
