@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import language, mixing, quality
+from loomgraph.llm import language, lm, mixing, quality, toxicity
 from loomgraph.llm.common import documents, held_out, word_count
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm.score(docs, ~held_out(F.col("doc_id"), 5, 1))
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = held_out(F.col("doc_id"), 4, 2)
@@ -16,6 +21,14 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, names, logp, keep=[F.col("doc_id"), held.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score", "lang_set")
 
 
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    scored = toxicity.score(docs, model, keep=[F.col("doc_id"), held.alias("held_out")])
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_hits", "n_windows")
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.references(docs))
@@ -54,7 +67,9 @@ SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(size
 
 def queries() -> dict:
     return {
+        "op5_log_bilinear": op5_log_bilinear,
         "op6_language_mixture": op6_language_mixture,
+        "op7_compression_toxicity": op7_compression_toxicity,
         "op8_quality_divergence": op8_quality_divergence,
         "op10_mix_sources": op10_mix_sources,
     }
