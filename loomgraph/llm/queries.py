@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, language, lm, mixing, quality, toxicity
+from loomgraph.llm import bpe, language, lm, mixing, quality, substrings, toxicity
 from loomgraph.llm.common import documents, held_out, word_count
 
 
@@ -23,6 +23,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_json(), digests=True)
 
 
+def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
 def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return lm.score(docs, ~held_out(F.col("doc_id"), 5, 1))
@@ -82,6 +86,7 @@ SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(size
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_recompression_dedup": op2_recompression_dedup,
         "op5_log_bilinear": op5_log_bilinear,
         "op6_language_mixture": op6_language_mixture,
         "op7_compression_toxicity": op7_compression_toxicity,
