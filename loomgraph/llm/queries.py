@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, language, lm, mixing, quality, substrings, toxicity
+from loomgraph.llm import bpe, language, lm, mixing, neardup, quality, substrings, toxicity
 from loomgraph.llm.common import documents, held_out, word_count
 
 
@@ -27,6 +27,10 @@ def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
 
 
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "keep")
+
+
 def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return lm.score(docs, ~held_out(F.col("doc_id"), 5, 1))
@@ -87,6 +91,7 @@ def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_recompression_dedup": op2_recompression_dedup,
+        "op3_probminhash": op3_probminhash,
         "op5_log_bilinear": op5_log_bilinear,
         "op6_language_mixture": op6_language_mixture,
         "op7_compression_toxicity": op7_compression_toxicity,
