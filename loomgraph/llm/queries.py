@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, language, lm, mixing, neardup, quality, substrings, toxicity
+from loomgraph.llm import ann, bpe, language, lm, mixing, neardup, quality, substrings, toxicity
 from loomgraph.llm.common import documents, held_out, word_count
 
 
@@ -56,6 +56,10 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.references(docs))
 
 
+def op9_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
     mixed = mixing.mix(docs, F.col("n_words"))
@@ -96,6 +100,7 @@ def queries() -> dict:
         "op6_language_mixture": op6_language_mixture,
         "op7_compression_toxicity": op7_compression_toxicity,
         "op8_quality_divergence": op8_quality_divergence,
+        "op9_multiprobe_ann": op9_multiprobe_ann,
         "op10_mix_sources": op10_mix_sources,
     }
 
