@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, language, lm, mixing, neardup, quality, substrings, toxicity
+from loomgraph.llm import ann, bpe, language, lm, mixing, neardup, quality, substrings, toxicity, warc
 from loomgraph.llm.common import documents, held_out, word_count
 
 
@@ -31,6 +31,60 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "keep")
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Two captures of each page: its response, and two days later a not-modified answer to the same URL.
+
+    The answer's validators are those of the page; every 7th has no entity tag, every 11th a stale one.
+    """
+    tag = F.substring(F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), 1, 16)
+    date = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("day-"), F.col("page_id").cast("string")))
+    rows = pages.select("page_id", "url", tag.alias("tag"), date.alias("date"), F.length(F.coalesce(F.col("html"), F.lit(""))).cast("string").alias("n"))
+    seen = F.when(F.col("page_id") % 11 == 0, F.lit("stale")).when(F.col("page_id") % 7 > 0, F.concat(F.lit("W/"), F.col("tag")))
+    first = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("n"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("server"), F.lit("origin"))
+    again = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=120"), F.lit("age"), F.lit("1"))
+    both = F.explode(
+        F.array(
+            F.struct((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), (F.col("page_id") * 60).alias("ts"), F.col("tag").alias("etag"), F.col("date").alias("last_modified"), first.alias("headers")),
+            F.struct((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), (F.col("page_id") * 60 + 172830).alias("ts"), seen.alias("etag"), F.col("date").alias("last_modified"), again.alias("headers")),
+        )
+    )
+    return rows.select("url", both.alias("c")).select("url", "c.*")
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return done.select("record_id", "url_key", "status", "response_id", fields.alias("headers"))
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, substr(md5(coalesce(html, '')), 1, 16) AS tag, CASE WHEN page_id % 3 > 0 THEN 'day-' || page_id END AS lm,
+         length(coalesce(html, '')) AS n,
+         regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?@]*@', '') AS u
+  FROM pages),
+k AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[0-9]*[.]', '')
+         || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''),
+            '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '[?]&+', '?', 'g'), '&&+', '&', 'g'), '[?&/]+$', '') AS url_key
+  FROM c),
+again AS (
+  SELECT url_key, page_id * 2 + 1 AS record_id, page_id * 60 + 172830 AS ts,
+         CASE WHEN page_id % 11 = 0 THEN 'stale' WHEN page_id % 7 > 0 THEN tag END AS etag, lm FROM k),
+full_ AS (SELECT url_key, page_id * 2 AS response_id, page_id * 60 AS ts, tag, lm AS olm, n FROM k),
+m AS (SELECT a.*, f.response_id, f.tag, f.olm, f.n FROM again a ASOF LEFT JOIN full_ f ON a.url_key = f.url_key AND a.ts >= f.ts),
+s AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'orphan'
+                 WHEN etag IS NOT NULL AND tag IS NOT NULL THEN CASE WHEN etag = tag THEN 'resolved' ELSE 'mismatch' END
+                 WHEN lm IS NOT NULL AND olm IS NOT NULL THEN CASE WHEN lm = olm THEN 'resolved' ELSE 'mismatch' END
+                 ELSE 'unchecked' END AS status
+  FROM m)
+SELECT record_id, url_key, status, response_id,
+       CASE WHEN status = 'resolved' THEN 'age=1;cache-control=max-age=120;content-length=' || n || ';content-type=text/html;server=origin' END AS headers
+FROM s
+"""
+
+
 def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return lm.score(docs, ~held_out(F.col("doc_id"), 5, 1))
@@ -96,6 +150,7 @@ def queries() -> dict:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_recompression_dedup": op2_recompression_dedup,
         "op3_probminhash": op3_probminhash,
+        "op4_warc_revisits": op4_warc_revisits,
         "op5_log_bilinear": op5_log_bilinear,
         "op6_language_mixture": op6_language_mixture,
         "op7_compression_toxicity": op7_compression_toxicity,
@@ -106,4 +161,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": OP10_SQL}
+    return {"op4_warc_revisits": OP4_SQL, "op10_mix_sources": OP10_SQL}
