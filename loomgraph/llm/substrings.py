@@ -28,6 +28,7 @@ are told apart by the order of the scan; a null id comes after all others.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ WINDOW = 20
 ROUNDS = 6
 SPAN = (4, 14)
 BLOCK_BYTES = 8 << 20
+_WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RUN = np.uint64(0x632BE59BD9B4E019)
 
@@ -226,10 +228,20 @@ def _loaded_texts(blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, digests: bool = False, block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
+def _cut(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words that are gone and the space before them."""
+    if not gone.any():
+        return text
+    pieces = _WORDS.findall(text)
+    left = b"".join(p for p, g in zip(pieces, gone, strict=True) if not g)
+    return left.lstrip(b" \t\n\v\f\r") if gone[0] else left
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, digests: bool = False, layout: bool = False, block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
     """All columns but the text, then n_words, n_removed and ``kept``, the words left, joined by a space.
 
-    With ``digests`` kept_sha256 stands for ``kept``.
+    With ``layout`` the words left keep the space before them, and a text that loses none
+    stays as it is.  With ``digests`` kept_sha256 stands for ``kept``.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -306,7 +318,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for i, w in enumerate(b.words):
             mine = out[b.at[i] : b.at[i] + len(w)]
             k = int(mine.sum())
-            left = b" ".join(w if not k else [w[j] for j in np.flatnonzero(~mine)])
+            left = _cut(x[i], mine) if layout else b" ".join(w if not k else [w[j] for j in np.flatnonzero(~mine)])
             removed.append(k)
             kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode())
         frame = {f"c{i}": pd.Series([r[f"c{i}"] for r in m], dtype=object) for i in range(len(others))}
