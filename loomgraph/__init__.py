@@ -1,0 +1 @@
+"""Content-graph analytics on Spark DataFrames."""
