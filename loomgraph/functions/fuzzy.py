@@ -1,13 +1,15 @@
-"""Fuzzy scores on 0..100: Indel ratio and token-set ratio, as JVM expressions.
+"""Fuzzy scores on 0..100: Indel ratio (a JVM expression) and token-set ratio (an Arrow UDF).
 
-The longest common subsequence is a fold over one string's characters of a row of the
-dynamic-programming table, so no Python runs.
+The ratio's longest common subsequence is a fold over one string's characters of a row of
+the dynamic-programming table.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _chars(s: Column) -> Column:
@@ -37,16 +39,42 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / total)
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Shared tokens alone give 100 if one side has no others; else the best ratio of shared, shared + a's and shared + b's."""
-    tokens = lambda s: F.array_sort(F.array_distinct(F.filter(F.split(s, r"\s+"), lambda t: t != "")))
-    ta, tb = tokens(a), tokens(b)
-    both, only_a, only_b = F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)
-    text = lambda *parts: F.array_join(F.concat(*parts), " ")
-    shared = text(both)
-    with_a, with_b = text(both, only_a), text(both, only_b)
-    # joining shared with one side only adds to its end, so the common part is the shared text
-    part = lambda longer: F.when(F.length(shared) > 0, F.lit(200.0) * F.length(shared) / (F.length(shared) + F.length(longer))).otherwise(F.lit(0.0))
-    inside = (F.size(both) > 0) & ((F.size(only_a) == 0) | (F.size(only_b) == 0))
-    none = (F.size(ta) == 0) | (F.size(tb) == 0)
-    return F.when(none, F.lit(0.0)).when(inside, F.lit(100.0)).otherwise(F.greatest(part(with_a), part(with_b), ratio(with_a, with_b)))
+def _lcs(a: str, b: str) -> int:
+    """Bit-parallel longest common subsequence: one big-integer step a character of ``b``."""
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & place.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _ratio(a: str, b: str) -> float:
+    return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def _token_set(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    ta, tb = set(a.split()), set(b.split())
+    if not ta or not tb:
+        return 0.0
+    both, only_a, only_b = sorted(ta & tb), sorted(ta - tb), sorted(tb - ta)
+    if both and not (only_a and only_b):
+        return 100.0
+    with_a, with_b = " ".join(both + only_a), " ".join(both + only_b)
+    scores = [_ratio(with_a, with_b)]
+    if both:
+        scores += [_ratio(" ".join(both), with_a), _ratio(" ".join(both), with_b)]
+    return max(scores)
+
+
+@F.pandas_udf(DoubleType())
+def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Shared tokens alone give 100 if one side has no others; else the best ratio of shared, shared + a's and shared + b's.
+
+    An Arrow UDF: the fold of :func:`ratio` costs milliseconds a pair, this microseconds.
+    """
+    return pd.Series([_token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
