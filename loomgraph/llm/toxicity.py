@@ -13,8 +13,8 @@ What makes short windows comparable:
 * Every window starts with a primer that both dictionaries end in.  So both frames are
   compressed blocks with their fixed costs paid, and one match more shows in the length.
 
-Labels are learned from a bounded sample: at most ``sample`` rows of each class, in the
-order of a hash of the text.  The dictionaries are trained on all of it; threshold and
+Labels are learned from a bounded sample: at most ``sample`` labelled rows of each
+class, in the order of a hash of the id, so that only their texts are gathered.  The dictionaries are trained on all of it; threshold and
 model are calibrated on each half's windows with dictionaries of the other half.
 Scoring covers every window of every text.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import small_batches
 
-SAMPLE = 3000
+SAMPLE = 2000
 RATIO = 30.0
 LEAST = 5
 DICT_BYTES = 2048
@@ -162,12 +162,15 @@ def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW, ratio: floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE) -> dict:
-    """Fit on at most ``sample`` labelled rows of each class among those where ``use`` holds."""
-    rows = docs.where(use).select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    texts = {}
-    for label in (0, 1):
-        some = rows.where(F.col("toxic") == label).orderBy(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "doc_id").limit(sample)
-        texts[label] = [r["text"] for r in some.select("text").collect()]
+    """Fit on at most ``sample`` labelled rows of each class where ``use`` (of doc_id) holds."""
+    labelled = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").where(use)
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    chosen = [labelled.where(F.col("toxic") == label).distinct().orderBy(order, "doc_id").limit(sample) for label in (0, 1)]
+    both = chosen[0].unionByName(chosen[1])
+    texts: dict[int, list[str]] = {0: [], 1: []}
+    found = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id")  # at most 2 * sample ids
+    for r in found.orderBy("toxic", order, "doc_id").collect():
+        texts[r["toxic"]].append(r["text"] or "")
     return fit(texts[1], texts[0])
 
 
