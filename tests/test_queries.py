@@ -1,5 +1,7 @@
 """Queries against their SQL, as the driver does, on the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -12,8 +14,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     cols = sorted(frame.columns)
-    show = lambda v: None if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
-    return sorted(tuple(str(show(v)) for v in r) for r in frame[cols].itertuples(index=False))
+    def show(v):
+        if pd.isna(v):
+            return "null"
+        return f"{float(v):.6f}" if isinstance(v, numbers.Number) else str(v)
+
+    return sorted(tuple(map(show, r)) for r in frame[cols].itertuples(index=False))
 
 
 @pytest.fixture(scope="session")
