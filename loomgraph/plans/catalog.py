@@ -181,6 +181,18 @@ def p9(spark, sf_dir):
     return _items(spark, sf_dir).where(F.length("text") > 0).select("item_id", F.left("text", F.lit(200)).alias("snippet"))
 
 
+@register("p4_induced_subgraph", query("SELECT i.item_id, i.author_native_id, array_to_string(list_sort(list(DISTINCT e.surface_form)), ',') AS names FROM items i JOIN item_entities e ON e.item_id = i.item_id WHERE i.item_id IN (SELECT item_id FROM ends) GROUP BY ALL", ITEMS, PAIRS, _ENDS, r"""item_entities AS (SELECT item_id, lang AS surface_form FROM items UNION SELECT item_id, upper(lang) FROM items)"""))
+def p4(spark, sf_dir):
+    inside = I.clustered(_items(spark, sf_dir), _edges(spark, sf_dir))
+    names = inside.select("item_id", F.explode(F.array("lang", F.upper("lang"))).alias("name"))
+    return inside.select("item_id", "author_native_id").join(names, "item_id").groupBy("item_id", "author_native_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
+
+
+@register("p8_known_authors", query("SELECT item_id, source_type || ':' || author_native_id AS author_id FROM items WHERE author_native_id IS NOT NULL", ITEMS))
+def p8(spark, sf_dir):
+    return _items(spark, sf_dir).where("author_native_id is not null").select("item_id", F.concat_ws(":", "source_type", "author_native_id").alias("author_id"))
+
+
 # ---- joins -------------------------------------------------------------------------------------------------------
 
 
@@ -421,6 +433,12 @@ def t3k(spark, sf_dir):
     return rows.select("narrative_id", "entity_id", total).where("total > 0").orderBy(F.desc("total"), "narrative_id", "entity_id").limit(5)
 
 
+@register("t4k_next_candidates", query("SELECT item_id FROM items WHERE text_hash IS NOT NULL AND doc_id % 3 <> 0 ORDER BY item_id LIMIT 25", ITEMS))
+def t4k(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return I.unprocessed(items, items.where("doc_id % 3 = 0").select("item_id"), limit=25).select("item_id")
+
+
 @register("u1_hash_union", query("SELECT item_id, 'text' AS field, text_hash AS hash FROM items WHERE text_hash IS NOT NULL UNION ALL SELECT item_id, 'media', media_hash FROM items WHERE media_hash IS NOT NULL", ITEMS))
 def u1(spark, sf_dir):
     return P.hash_pool(_items(spark, sf_dir), ("text", "media")).select("item_id", "field", "hash")
@@ -493,6 +511,40 @@ def f8(spark, sf_dir):
     return found.select("doc_id", *[F.array_join(f"e.{c}", " ").alias(c) for c in ("urls", "hashtags", "mentions")])
 
 
+@register("f12_duration", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 3) * 3600 + (event_id % 50) * 60 + event_id % 60 END::BIGINT AS seconds FROM events")
+def f12(spark, sf_dir):
+    n = F.col("event_id")
+    part = lambda m, unit: F.concat((n % m).cast("string"), F.lit(unit))
+    iso = F.when(n % 5 == 0, F.lit("P1D")).otherwise(F.concat(F.lit("PT"), part(3, "H"), part(50, "M"), part(60, "S")))
+    return adapter.table(spark, sf_dir, "events").select("event_id", records.duration_seconds(iso).alias("seconds"))
+
+
+@register("f15_title_text", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN n_name ELSE n_name || chr(10) || chr(10) || 'about ' || n_name END AS text FROM nation")
+def f15(spark, sf_dir):
+    k = F.col("n_nationkey") % 4
+    title = F.when(k == 0, F.lit(" ")).otherwise(F.col("n_name"))
+    about = F.when(k == 0, F.lit("")).when(k > 1, F.concat(F.lit("about "), "n_name", F.lit(" ")))
+    return adapter.table(spark, sf_dir, "nation").select("n_nationkey", records.title_text(title, about).alias("text"))
+
+
+@register("f16_parse_time", "SELECT event_id, CASE WHEN event_id % 7 > 0 THEN ts END AS at FROM events")
+def f16(spark, sf_dir):
+    iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    text = F.when(F.col("event_id") % 14 == 0, F.lit("")).when(F.col("event_id") % 7 == 0, F.lit("no time")).otherwise(iso)
+    return adapter.table(spark, sf_dir, "events").select("event_id", records.parse_time(text).cast("timestamp_ntz").alias("at"))
+
+
+@register("f17_months_ago", "SELECT o_orderkey, (o_orderdate::DATE - to_months((o_orderkey % 14)::INT))::DATE::VARCHAR AS since FROM orders")
+def f17(spark, sf_dir):
+    return adapter.table(spark, sf_dir, "orders").select("o_orderkey", F.add_months(F.col("o_orderdate").cast("date"), -(F.col("o_orderkey") % 14).cast("int")).cast("string").alias("since"))
+
+
+@register("f18_account_age", "SELECT o_orderkey, round((epoch(TIMESTAMP '2030-01-01') - epoch(o_orderdate)) / 86400, 6) AS days FROM orders")
+def f18(spark, sf_dir):
+    age = records.account_age_days(F.lit("2030-01-01").cast("timestamp"), F.col("o_orderdate").cast("timestamp"))
+    return adapter.table(spark, sf_dir, "orders").select("o_orderkey", _r(age, "days"))
+
+
 @register("f14_url_ids", r"SELECT page_id, nullif(regexp_extract(u, '(?:youtu\.be/|youtube\.com/watch\?v=)([\w-]{6,})', 1), '') AS video, nullif(regexp_extract(u, 'youtube\.com/channel/([\w-]+)', 1), '') AS channel FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://youtu.be/abc-' || page_id WHEN page_id % 3 = 1 THEN 'https://youtube.com/channel/ch_' || page_id ELSE url END AS u FROM pages)")
 def f14(spark, sf_dir):
     n = F.col("page_id").cast("string")
@@ -587,6 +639,18 @@ def e1(spark, sf_dir):
     return found["entities"].join(forms, "entity_id").select("canonical_name", F.when(F.col("entity_type") == "Topic", "topic").otherwise(F.col("entity_type")).alias("entity_type"), "observation_count", "n_aliases")
 
 
+@register("e2_extract_once", query("SELECT item_id, string_split(text_normalized, ' ')[1] AS surface_form FROM items WHERE text_hash IS NOT NULL AND doc_id % 3 <> 0", ITEMS))
+def e2(spark, sf_dir):
+    """Unprocessed items; the provider is asked once for each content that the cache lacks, its answer joins back."""
+    items = _items(spark, sf_dir)
+    first = F.split("text_normalized", " ")[0]
+    cache = items.where("doc_id % 3 = 0 and text_hash is not null").groupBy("text_hash").agg(F.min(first).alias("surface_form"))
+    todo = I.unprocessed(items, items.where("doc_id % 3 = 0").select("item_id"))
+    asked = I.uncached(todo, cache).join(todo.groupBy("text_hash").agg(F.min("text_normalized").alias("text")), "text_hash")
+    new = I.provider_answers(asked, "text_hash string, surface_form string", lambda row: [{"text_hash": row["text_hash"], "surface_form": row["text"].split(" ")[0]}])
+    return todo.select("item_id", "text_hash").join(cache.unionByName(new), "text_hash").select("item_id", "surface_form")
+
+
 @register("e3_insert_absent", query("SELECT text_hash, min(item_id) AS item_id FROM items WHERE text_hash IS NOT NULL GROUP BY 1", ITEMS))
 def e3(spark, sf_dir):
     rows = _items(spark, sf_dir).where("text_hash is not null").select("text_hash", "item_id")
