@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each calling one training-data operator.
 
-1. ``language``: documents without a language, or with no language that holds half of
-   the text, go; a null ``lang`` becomes the predicted one.
+1. ``language``: documents without a language, or with no language that holds two fifths
+   of the text, go; a null ``lang`` becomes the predicted one.
 2. ``near_duplicates``: one document of each near-duplicate group stays.
 3. ``repeated_passages``: words in 20-word windows that occur earlier go; ``n_chars`` follows.
 4. ``mix``: documents are repeated to their source's target: whole copies as rows of their
@@ -22,7 +22,7 @@ from loomgraph.llm.common import WORD, held_out, staged, word_count
 from loomgraph.llm.queries import tokenizer_json
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = neardup.classes(docs).where(~F.col("keep")).select(F.col("rid").alias("_rid"))
     rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_rid"))
-    return rows.join(gone, "_rid", "left_anti").select(*COLUMNS)
+    return rows.join(gone.hint("merge"), "_rid", "left_anti").select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
