@@ -130,10 +130,26 @@ def window_names(words: np.ndarray, seed: int) -> np.ndarray:
     return _name(h[:n], four[16 : 16 + n], seed + 9)
 
 
+def names_at(words: np.ndarray, starts: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """Window names at ``starts`` only: the words of these windows, closed up, have them at the places they move to."""
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in seeds]
+    edge = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + WINDOW, minlength=len(words) + 1)
+    needed = np.cumsum(edge)[:-1] > 0
+    at = (np.cumsum(needed) - 1)[starts]
+    some = words[needed]
+    return [window_names(some, seed)[at] for seed in seeds]
+
+
+#: One memory of word hashes for all blocks of a Python worker.
+_HASHES = WordHashes()
+
+
 class Block:
     """The words of a block of texts, its distinct anchor names, and which windows can repeat."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
+        hashes = _HASHES
         self.words = [x.split() for x in texts]
         n = np.fromiter(map(len, self.words), np.int64, len(texts))
         self.at = np.cumsum(n) - n
@@ -144,7 +160,7 @@ class Block:
         name, self.lo, self.hi = anchors(self.hash, self.doc, self.first, self.last)
         count = _covered(self.lo, self.hi, self.first, len(self.hash))
         self.bare = np.flatnonzero(self.is_window & (count == 0))
-        own = window_names(self.hash, 77)[self.bare] if len(self.bare) else np.zeros(0, np.uint64)
+        own = names_at(self.hash, self.bare, 77)[0]
         self.names, self.which, times = np.unique(np.concatenate([name, own]), return_inverse=True, return_counts=True)
         self.twice = times > 1
 
@@ -161,7 +177,7 @@ class Block:
         place in its text, place in the block) of the first of each, and the number of the distinct one of each start."""
         if not len(starts):
             return np.zeros((5, 0), np.uint64), np.zeros(0, np.int64)
-        a, b = window_names(self.hash, 11)[starts], window_names(self.hash, 23)[starts]
+        a, b = names_at(self.hash, starts, 11, 23)
         d = ids[self.doc[starts]]
         place = starts - self.at[self.doc[starts]]
         order = np.lexsort((starts, place, d, b, a))
@@ -253,9 +269,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = parts or max(8, rows.rdd.getNumPartitions())
 
     def ask_names(batches):
-        hashes = WordHashes()
         for block, _, texts in _gathered(batches, block_bytes):
-            b = Block(texts, hashes)
+            b = Block(texts)
             part_of = (b.names % np.uint64(parts)).astype(np.int64)
             got = [(p, np.flatnonzero(part_of == p)) for p in np.unique(part_of)]
             yield {"part": [int(p) for p, _ in got], "block": [block] * len(got), "n": [len(i) for _, i in got], "data": [_pack(b.names[i], b.twice[i].astype(np.uint8)) for _, i in got]}
@@ -281,7 +296,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not len(text):
             return pd.DataFrame({"part": [], "block": [], "n": [], "data": []})
         m, x = opened(text)
-        b = Block(x, WordHashes())
+        b = Block(x)
         starts = b.repeatable(_flags(reply, (b.names % np.uint64(parts)).astype(np.int64), "bits"))
         found, _ = b.windows(starts, _ids(m, key))
         part_of = (found[0] % np.uint64(parts)).astype(np.int64)
@@ -301,7 +316,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def finish(text: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         m, x = opened(text)
-        b = Block(x, WordHashes())
+        b = Block(x)
         bits = reply[reply["bits"].notna()]
         starts = b.repeatable(_flags(bits, (b.names % np.uint64(parts)).astype(np.int64), "bits"))
         found, number = b.windows(starts, _ids(m, key))
