@@ -148,7 +148,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, simi
 
     bodies = rows.select("rid", "text").mapInArrow(arrow_map(packed, pa.schema([("tid", pa.int64()), ("body", pa.binary())])), "tid long, body binary")
     wanted = members.select("tid").distinct()
-    bodies = staged(bodies.join(wanted, "tid", "left_semi"), "bodies")
+    # a merge join at every size: each text moves once, compressed, and what is wanted is never broadcast
+    bodies = staged(bodies.join(wanted.hint("merge"), "tid", "left_semi"), "bodies")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     dealt = members.select("key", "n", "first", "tid", F.pmod(F.xxhash64("tid"), chunks).cast("int").alias("chunk"))
     shared = members.where((F.col("n") > chunk) & (F.col("tid") == F.col("first"))).select("key", "n", "first", "tid", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
