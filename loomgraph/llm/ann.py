@@ -41,7 +41,7 @@ TABLES, FUNCTIONS, SLOT, REACH = 3, 4, 1.0, 3
 SUCCESS = 0.97
 SAMPLE = 2000
 LOW = 0.1
-BLOCK = 4096
+ENTRY_BLOCK, QUERY_BLOCK = 32_768, 2048
 WIDE = 2 * REACH + 1
 
 
@@ -101,10 +101,12 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors])
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", *, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", *, tables: int = TABLES, block: int = ENTRY_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for each row where ``queries`` (of column vec_id) holds."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & _sound(F.col("v")))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"  # kept as they are until they are compared
+    kind, element = ("array<float>", pa.float32()) if single else ("array<double>", pa.float64())
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & _sound(F.col("v")))
     lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -113,9 +115,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     place = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("rn", F.row_number().over(place)).where(F.col("rn") <= k + 1)
     entries = staged(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0]), "entries")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     longest = entries.agg(F.max(norm)).first()[0]
-    sample = _matrix([r["v"] for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").collect()])
+    order = F.pmod(F.xxhash64("entry"), F.lit(1 << 30))
+    some = entries.where(order < math.ceil(min(1.0, 4 * SAMPLE / entries.count()) * (1 << 30)))  # so that no task sends a sample of its own
+    sample = _matrix([r["v"] for r in some.orderBy(order, "entry").limit(SAMPLE).select("v").collect()])
     close = (sample / np.linalg.norm(sample, axis=1, keepdims=True)) @ (sample / longest).T
     np.fill_diagonal(close, -1)
     place = min(len(sample), max(1, math.ceil(k / n * len(sample))))
@@ -144,11 +148,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
                             out[key].append(x)
             yield out
 
-    double = pa.list_(pa.float64())
-    index = entries.select("entry", "v").mapInArrow(arrow_map(hashed, pa.schema([("entry", pa.int64()), ("v", double), ("t", pa.int32()), ("slot", pa.int32()), ("code", pa.int32())])), "entry long, v array<double>, t int, slot int, code int")
-    asked = rows.where(queries).mapInArrow(arrow_map(visiting, pa.schema([("query_id", pa.int64()), ("v", double), ("t", pa.int32()), ("slot", pa.int32()), ("codes", pa.list_(pa.int32()))])), "query_id long, v array<double>, t int, slot int, codes array<int>")
+    vector = pa.list_(element)
+    index = entries.select("entry", "v").mapInArrow(arrow_map(hashed, pa.schema([("entry", pa.int64()), ("v", vector), ("t", pa.int32()), ("slot", pa.int32()), ("code", pa.int32())])), f"entry long, v {kind}, t int, slot int, code int")
+    asked = rows.where(queries).mapInArrow(arrow_map(visiting, pa.schema([("query_id", pa.int64()), ("v", vector), ("t", pa.int32()), ("slot", pa.int32()), ("codes", pa.list_(pa.int32()))])), f"query_id long, v {kind}, t int, slot int, codes array<int>")
     index, asked = staged(index, "index"), staged(asked, "visits")
-    size = index.groupBy("t", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias("cols")).join(asked.groupBy("t", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias("rows")), ["t", "slot"])
+    size = index.groupBy("t", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias("cols")).join(asked.groupBy("t", "slot").agg(F.ceil(F.count("*") / query_block).cast("int").alias("rows")), ["t", "slot"])
     size = F.broadcast(size)  # at most tables * (2 * REACH + 1) rows
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
@@ -160,8 +164,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
         if len(entries) and len(queries):
             v, code, entry = _matrix(entries["v"]), entries["code"].to_numpy(), entries["entry"].to_numpy()
             own, at = np.unique(code, return_inverse=True)
-            for i in range(0, len(queries), 512):
-                some = queries.iloc[i : i + 512]
+            step = max(1, (1 << 21) // len(v))  # 16 MB of scores at a time
+            for i in range(0, len(queries), step):
+                some = queries.iloc[i : i + step]
                 q, ids = _matrix(some["v"]), some["query_id"].to_numpy()
                 visited = np.array([np.isin(own, c) for c in some["codes"]])
                 scores = np.where(visited[:, at], q @ v.T, -np.inf)
