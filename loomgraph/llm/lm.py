@@ -72,6 +72,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text}`")).mapInArrow(arrow_map(count, schema), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    """Words and counts of the highest count ranges that hold at most ``most`` words in all, most frequent first.
+
+    The ranges (16 to a doubling) are counted first, so that each task sends only words that
+    are wanted, and the driver never gets over ``most`` of them.
+    """
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["level"]
+    if least is None:
+        return [], []
+    found = sorted(((-r["c"], bytes(r["word"])) for r in counts.where(level >= least).collect()))
+    return [w for _, w in found], [-c for c, _ in found]
+
+
 class Symbols:
     """Head words, their counts, and the symbol of each; the shortlist comes first."""
 
@@ -170,9 +189,7 @@ def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "
     small_batches(spark)
     counts = staged(word_counts(docs.where(training), text), "lm-words")
     total, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toPandas()
-    symbols = Symbols([bytes(w) for w in top["word"]], top["c"].tolist(), shortlist)
-    del top
+    symbols = Symbols(*most_frequent(counts, head), shortlist)
     shipped = spark.sparkContext.broadcast(symbols)
     grams = trigrams(docs.where(training), shipped, text).toPandas()
     logp = train(grams["code"].to_numpy(np.int64), grams["n"].to_numpy(float), symbols.n)
