@@ -1,13 +1,15 @@
 """Near-duplicate groups by ProbMinHash.
 
-A text is its 5-word shingles, weighed by how often each occurs (a shorter text is one
-shingle).  ProbMinHash: each shingle starts a Poisson process whose rate is its weight
-and whose points each fall on one of ``REGISTERS`` registers; a register keeps the
-shingle of its earliest point.  A process ends once its next point comes later than all
-registers' earliest.  Two texts agree in a register with the probability Jaccard
-similarity of their weighted shingles.  Bands of ``ROWS`` registers bring candidates
-together (at similarity 0.8 all 16 bands miss with probability 2e-4), and candidates
-are verified exactly: Jaccard of their shingle sets at least ``SIMILARITY``.
+A text is the set of its 5-word shingles (a shorter text is one shingle).  ProbMinHash:
+each shingle starts a Poisson process whose rate is its weight and whose points each
+fall on one of ``REGISTERS`` registers; a register keeps the shingle of its earliest
+point.  A process ends once its next point comes later than all registers' earliest.
+Two texts agree in a register with the probability Jaccard similarity of their weighted
+shingles.  Each distinct shingle weighs 1, however often it occurs, as this similarity
+is then the Jaccard of the sets, which is what is verified.  Bands of ``ROWS`` registers
+bring candidates together (at similarity 0.8 all 16 bands miss with probability 2e-4),
+and candidates are verified exactly: Jaccard of their shingle sets at least
+``SIMILARITY``.
 
 Texts with the same words are one text from the start.  Within a bucket no pairs are
 sent: its task takes one text after another that is not yet in the largest group and
@@ -125,9 +127,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, simi
         hashes = WordHashes()
         for b in batches:
             words = [(x or "").encode().split() for x in b.column(2).to_pylist()]
-            sets = [np.unique(shingles(hashes.of(w)), return_counts=True) for w in words]
-            n = [len(s[0]) for s in sets]
-            signature = prob_min_hash(np.repeat(np.arange(len(n)), n), np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), len(n))
+            sets = [np.unique(shingles(hashes.of(w))) for w in words]
+            n = [len(s) for s in sets]
+            signature = prob_min_hash(np.repeat(np.arange(len(n)), n), np.concatenate(sets), np.ones(sum(n)), len(n))
             yield {"rid": b.column(0), "doc_id": b.column(1), "content": [hashlib.md5(b" ".join(w)).digest() if w else None for w in words], "signature": [s.tobytes() if k else None for s, k in zip(signature, n, strict=True)]}
 
     signed = staged(rows.mapInArrow(arrow_map(sign, signed_schema), "rid long, doc_id long, content binary, signature binary"), "signed")

@@ -99,6 +99,19 @@ def test_near_duplicates(spark, none, tmp_path):
     assert neardup.classes(none).count() == 0
 
 
+def test_near_copies_with_a_repeated_line(spark, tmp_path):
+    """Candidates follow the Jaccard of shingle sets, whatever a line's count in one of the texts."""
+    rows = []
+    for i in range(12):
+        base = " ".join(f"t{i}w{k}" for k in range(200))
+        rows += [(2 * i, base, "en", "s"), (2 * i + 1, base + f" a{i} b c d e f g h{i}" * (40 if i % 2 else 100), "en", "s")]
+    want = brute.classes(rows)
+    assert [want[j] for j in range(24)] == [j - j % 2 for j in range(24)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = neardup.classes(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(want))
+
+
 def test_prob_min_hash_estimates():
     rng = np.random.default_rng(1)
     e = rng.integers(1, 1 << 60, 150, dtype=np.uint64)
