@@ -5,8 +5,13 @@ Jensen-Shannon distance: its character classes, and its common words (with all o
 words in one bin).  A document's distance is that to the nearest reference.  A document
 fails if a distance is over its limit; the limits widen for short texts by what
 sampling alone gives, and below ``min_chars`` / ``min_words`` a histogram is not judged.
+Words have a second limit, of the nearest reference and by length: the median distance
+of that language's own documents of like length and ``SPREADS`` times what lies between
+it and the upper quartile, and at most ``NEAR`` of the distance that a text without any
+common word has (no text without common words passes, at any length).
 
-References are learned from all documents in one pass.  A language's common words are
+References are learned from all documents, their words in one pass and the distances
+of documents in a second.  A language's common words are
 those with at least ``share`` of its words.  They are counted in chunks of
 ``chunk_words`` words; a chunk passes on the words with at least a tenth of ``share``
 of the chunk (at most 10 / share rows, whatever its size), so a count is short of the
@@ -37,6 +42,8 @@ SYMBOLS = b"#*$%&|<>"
 CLASSES = ("space", "lower", "upper", "digit", "stop", "symbol", "letter", "other")
 SHARE = 0.002
 CHUNK_WORDS = 1_000_000
+SPREADS, NEAR, ENOUGH = 6, 0.95, 20
+LENGTHS, BINS = 64, 400
 
 
 @cache
@@ -95,9 +102,10 @@ def base_columns(text: str | None, hashes: WordHashes) -> tuple[list[bytes], int
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, chunk_words: int = CHUNK_WORDS) -> dict:
-    """{lang: (class histogram, {word: share})}, learned from all rows.
+    """{lang: (class histogram, {word: share}, word limit by length)}, learned from all rows.
 
-    The driver gets one row for each language and class, and at most 1 / share words a language.
+    The driver gets one row for each language and class, at most 1 / share words a language,
+    and at most LENGTHS * BINS counts of distances a language.
     """
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
@@ -140,7 +148,61 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
             hist[int(bytes(r["word"])[1:])] = r["n"]
         elif r["word"] is not None:
             common[bytes(r["word"])] = r["n"] / r["_total"]
-    return {la: (hist / max(1.0, hist.sum()), dict(sorted(common.items()))) for la, (hist, common, _) in found.items()}
+    learned = {la: (hist / max(1.0, hist.sum()), dict(sorted(common.items()))) for la, (hist, common, _) in found.items()}
+    limits = word_limits(rows, learned)
+    return {la: (*r, limits[la]) for la, r in learned.items()}
+
+
+def word_shares(common: dict) -> np.ndarray:
+    """Shares of the common words, and of all other words in the last bin."""
+    return np.array([*common.values(), max(0.0, 1 - sum(common.values()))])
+
+
+def word_distance(seen: Counter, n: int, place: dict, shares: np.ndarray) -> float:
+    """Distance of a text of ``n`` words, counted in ``seen``, to a reference; ``place`` numbers its common words."""
+    own = np.zeros(len(shares))
+    for w in place.keys() & seen.keys():
+        own[place[w]] = seen[w]
+    own[-1] = n - own[:-1].sum()
+    return float(js_distance(own[None] / n, shares[None])[0, 0])
+
+
+def length_bin(n: int) -> int:
+    """Two bins to a doubling of the number of words."""
+    return min(LENGTHS - 1, int(2 * np.log2(max(1, n))))
+
+
+def word_limits(rows: DataFrame, learned: dict) -> dict:
+    """{lang: limit of each length bin}, from the distances of all rows (lang, text) to their own language's reference."""
+    shipped = rows.sparkSession.sparkContext.broadcast({la: ({w: i for i, w in enumerate(r[1])}, word_shares(r[1])) for la, r in learned.items()})
+    schema = pa.schema([("lang", pa.string()), ("cell", pa.int64()), ("n", pa.int64())])
+
+    def measure(batches):
+        cells: Counter = Counter()
+        for b in batches:
+            for la, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = (x or "").encode("utf-8", "surrogatepass").split()
+                if words and la in shipped.value:
+                    d = word_distance(Counter(words), len(words), *shipped.value[la])
+                    cells[la, length_bin(len(words)) * BINS + min(BINS - 1, int(d * BINS))] += 1
+        yield {"lang": [c[0] for c in cells], "cell": [c[1] for c in cells], "n": list(cells.values())}
+
+    counts = {la: np.zeros((LENGTHS, BINS)) for la in learned}
+    if learned:
+        for r in rows.mapInArrow(arrow_map(measure, schema), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
+            counts[r["lang"]][divmod(r["cell"], BINS)] = r["n"]
+    out = {}
+    for la, (_, common) in learned.items():
+        shares = word_shares(common)
+        alien = word_distance(Counter(), 1, {}, shares)  # of any text without common words
+        # without common words (every word rare) there is nothing to be far from
+        limit = np.full(LENGTHS, NEAR * alien if common else np.inf)
+        for i, row in enumerate(counts[la]):
+            if common and row.sum() >= ENOUGH:
+                half, upper = ((np.searchsorted(np.cumsum(row), q * row.sum()) + 1) / BINS for q in (0.5, 0.75))
+                limit[i] = min(limit[i], half + SPREADS * max(upper - half, 1 / BINS))
+        out[la] = limit
+    return out
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -163,14 +225,15 @@ def judge(docs: DataFrame, refs: dict, text: str = "text", doc_id: str = "doc_id
     spark = docs.sparkSession
     names = sorted(refs, key=str)
     vocabulary = [{w: i for i, w in enumerate(refs[la][1])} for la in names]
-    shares = [np.array([*refs[la][1].values(), max(0.0, 1 - sum(refs[la][1].values()))]) for la in names]
+    shares = [word_shares(refs[la][1]) for la in names]
+    limits = [refs[la][2] for la in names]
     classes = np.array([refs[la][0] for la in names]) if names else np.zeros((0, len(CLASSES)))
-    shipped = spark.sparkContext.broadcast((vocabulary, shares, classes))
+    shipped = spark.sparkContext.broadcast((vocabulary, shares, classes, limits))
     fields = [("doc_id", pa.int64())] + [(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())]
     schema = pa.schema(fields)
 
     def score(batches):
-        vocabulary, shares, classes = shipped.value
+        vocabulary, shares, classes, limits = shipped.value
         hashes = WordHashes()
         for b in batches:
             out = defaultdict(list)
@@ -182,18 +245,12 @@ def judge(docs: DataFrame, refs: dict, text: str = "text", doc_id: str = "doc_id
                 words, chars, symbols, lines, repeated = base_columns(x, hashes)
                 n = len(words)
                 failed = n < 20 or 100 * repeated > 30 * n
-                wd = 0.0
+                wd, words_good = 0.0, True
                 if n >= min_words and vocabulary:
-                    seen, best = Counter(words), []
-                    for v, s in zip(vocabulary, shares, strict=True):
-                        own = np.zeros(len(s))
-                        for w in v.keys() & seen.keys():
-                            own[v[w]] = seen[w]
-                        own[-1] = n - own[:-1].sum()
-                        best.append(float(js_distance(own[None] / n, s[None])[0, 0]))
-                    wd = min(best)
-                width = len(shares[0]) if shares else 1
-                good = (n_chars[i] < min_chars or cd[i] <= class_limit + 1.5 / np.sqrt(n_chars[i])) and (n < min_words or wd <= word_limit + np.sqrt(min(width, n) / (8 * n)))
+                    seen = Counter(words)
+                    wd, near = min((word_distance(seen, n, v, s), k) for k, (v, s) in enumerate(zip(vocabulary, shares, strict=True)))
+                    words_good = wd <= min(word_limit + np.sqrt(min(len(shares[near]), n) / (8 * n)), limits[near][length_bin(n)])
+                good = (n_chars[i] < min_chars or cd[i] <= class_limit + 1.5 / np.sqrt(n_chars[i])) and words_good
                 for k, v in zip(schema.names, (d, n, chars, symbols, lines, repeated, failed, bool(good and not failed), float(cd[i]), wd), strict=True):
                     out[k].append(v)
             yield out

@@ -201,6 +201,19 @@ def test_quality(docs, none):
     assert quality.judge(none, quality.references(none)).count() == 0
 
 
+def test_quality_of_text_without_common_words(spark, sf_dir):
+    """Letters of a known language in words that no language has fail at every length; most documents stay."""
+    refs = quality.references(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rng = np.random.default_rng(4)
+    letters = list("eeeeaattoinshrdlucmfwypvbgk")
+    gibberish = lambda n: " ".join("".join(rng.choice(letters, rng.integers(6, 12))) for _ in range(n)).capitalize() + "."
+    rows = [(n, gibberish(n)) for n in (100, 240, 1000, 5000)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), refs).collect()}
+    assert not any(r["base_failed"] or r["kept"] for r in got.values())
+    docs = [r for r in quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), refs).collect() if r["n_words"] >= 100 and not r["base_failed"]]
+    assert sum(r["kept"] for r in docs) >= 0.8 * len(docs)
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([[0.0, 1.0], [0.5, 0.5]])
     d = quality.js_distance(p, q)
