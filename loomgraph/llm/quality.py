@@ -12,10 +12,9 @@ common word has (no text without common words passes, at any length).
 
 References are learned from all documents, their words in one pass and the distances
 of documents in a second.  A language's common words are
-those with at least ``share`` of its words.  They are counted in chunks of
-``chunk_words`` words; a chunk passes on the words with at least a tenth of ``share``
-of the chunk (at most 10 / share rows, whatever its size), so a count is short of the
-true one by at most a tenth of the threshold, in bounded memory.
+those with at least ``share`` of its words.  All words are counted; partial counts are
+passed on whole, each time ``chunk_words`` words or ``FLUSH`` distinct ones are held, and
+the threshold applies to their sums only, so counts are exact however rows are dealt.
 
 The base columns (words, symbols, repeated lines and windows) are exact, over whole
 texts.  Repeated 8-word windows are found by hash, and where hashes repeat they are
@@ -36,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, arrow_map, mix64, small_batches
+from loomgraph.llm.common import WordHashes, arrow_map, mix64, small_batches, staged
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("space", "lower", "upper", "digit", "stop", "symbol", "letter", "other")
 SHARE = 0.002
 CHUNK_WORDS = 1_000_000
+FLUSH = 400_000
 SPREADS, NEAR, ENOUGH = 6, 0.95, 20
 LENGTHS, BINS = 64, 400
 
@@ -116,7 +116,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
             out = []
             for la, c in words.items():
                 n = sum(c.values())
-                out += [(la, None, n)] + [(la, w, k) for w, k in c.items() if k * 10 >= share * n]
+                out += [(la, None, n)] + [(la, w, k) for w, k in c.items()]
             out += [(la, b" %d" % i, int(k)) for la, v in classes.items() for i, k in enumerate(v) if k]
             words.clear()
             classes.clear()
@@ -130,7 +130,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
                 words[la].update(got)
                 classes[la] += class_counts(x)
                 held += len(got)
-                if held >= chunk_words:
+                if held >= chunk_words or sum(map(len, words.values())) >= FLUSH:
                     held = 0
                     if out := flush():
                         yield out
@@ -138,7 +138,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
             yield out
 
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counts = rows.mapInArrow(arrow_map(count, schema), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # read twice below; staged so that the documents are counted once
+    counts = staged(rows.mapInArrow(arrow_map(count, schema), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
     totals = counts.where("word is null").select(F.col("lang").alias("_l"), F.col("n").alias("_total"))
     kept = counts.join(F.broadcast(totals), F.col("lang").eqNullSafe(F.col("_l"))).where(f"word is null or substring(word, 1, 1) = X'20' or n >= {share} * _total")
     found: dict = {}

@@ -201,6 +201,16 @@ def test_quality(docs, none):
     assert quality.judge(none, quality.references(none)).count() == 0
 
 
+def test_reference_counts_are_whole(spark):
+    """A word that comes in a burst and then rarely keeps its whole count, however words fall into chunks."""
+    rows = [(0, "burst " * 30 + "x " * 970, "en")] + [(i, "burst " + "x " * 19_999, "en") for i in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    want = 33 / 61_000
+    for chunk in (500, 20_000, 1_000_000):
+        assert quality.references(docs, share=0.00052, chunk_words=chunk)["en"][1][b"burst"] == pytest.approx(want)
+    assert b"burst" not in quality.references(docs, share=0.002)["en"][1]
+
+
 def test_quality_of_text_without_common_words(spark, sf_dir):
     """Letters of a known language in words that no language has fail at every length; most documents stay."""
     refs = quality.references(spark.read.parquet(f"{sf_dir}/documents.parquet"))
