@@ -52,7 +52,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = warc.resolve(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    done = warc.resolve(page_captures(spark.read.parquet(f"{sf_dir}/pages.parquet")), unkeyed=True)
     fields = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return done.select("record_id", "url_key", "status", "response_id", fields.alias("headers"))
 

@@ -17,7 +17,7 @@ Each revisit gets ``status``: ``resolved``; ``mismatch`` if the validators
 differ; ``unchecked`` if neither side has a validator to compare; ``orphan`` without an
 earlier response.  Equal times: a response counts as earlier than a revisit at its time;
 of two responses at one time the larger id is the later.  A null URL or time matches
-nothing; extra columns are ignored; an empty table gives an empty result.
+nothing; such a revisit is an ``orphan`` with ``unkeyed`` and has no row without.  Extra columns are ignored; an empty table gives an empty result.
 
 :func:`write` and :func:`read` are the files: one gzip member a record.
 """
@@ -62,7 +62,7 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def latest_response(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def latest_response(captures: DataFrame, slice_seconds: int = SLICE_SECONDS, unkeyed: bool = False) -> DataFrame:
     """record_id of each revisit with ``found``: id, etag, last_modified of the latest earlier response (or null).
 
     ``captures``: record_id, url, ts (seconds), kind ('response' or 'revisit'), etag, last_modified.
@@ -70,6 +70,7 @@ def latest_response(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     rows = captures.select(canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), F.col("record_id").cast("long").alias("record_id"), "kind", "etag", "last_modified")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified"))
     late = (F.col("kind") == "revisit").cast("int")
+    keyless = rows.where("kind = 'revisit' and (url_key is null or ts is null)")
     rows = rows.where("url_key is not null and ts is not null").withColumn("slice", F.floor(F.col("ts") / slice_seconds)).withColumn("full", full).withColumn("late", late)
     inside = Window.partitionBy("url_key", "slice").orderBy("ts", "late", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = rows.withColumn("near", F.last("full", ignorenulls=True).over(inside))
@@ -77,15 +78,19 @@ def latest_response(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
     before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("far", F.last("end.full", ignorenulls=True).over(before)).select("url_key", "slice", "far")
     asked = found.where("kind = 'revisit'").select("url_key", "slice", "record_id", "etag", "last_modified", "near")
-    return asked.join(ends, ["url_key", "slice"], "left").select("record_id", "url_key", "etag", "last_modified", F.coalesce("near", "far").alias("found"))
+    matched = asked.join(ends, ["url_key", "slice"], "left").select("record_id", "url_key", "etag", "last_modified", F.coalesce("near", "far").alias("found"))
+    if not unkeyed:
+        return matched
+    return matched.unionByName(keyless.select("record_id", "url_key", "etag", "last_modified", F.lit(None).cast(matched.schema["found"].dataType).alias("found")))
 
 
-def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS, unkeyed: bool = False) -> DataFrame:
     """record_id, url_key, status, response_id and merged ``headers`` of each revisit.
 
+    With ``unkeyed`` also of revisits without a URL or time, which are orphans.
     ``captures`` also has ``headers``, a map by lower-case field name (null: none).
     """
-    matched = latest_response(captures, slice_seconds)
+    matched = latest_response(captures, slice_seconds, unkeyed)
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("found.last_modified").isNotNull()
     same = F.when(tags, _weak(F.col("etag")) == _weak(F.col("found.etag"))).when(dates, F.col("last_modified") == F.col("found.last_modified"))

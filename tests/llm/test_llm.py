@@ -152,6 +152,19 @@ def test_warc(spark, tmp_path):
     assert [(r["kind"], r["status_code"], bytes(r["body"])) for r in back] == [("response", 200, b""), ("revisit", 304, b""), ("response", 200, b"body\r\n" * 2)]
 
 
+def test_revisits_without_url_are_orphans(spark, tmp_path):
+    """The query against its SQL on pages with null URLs."""
+    import duckdb
+
+    rows = [(1, "http://a.com/x", "a"), (2, None, "b"), (3, None, None), (4, "http://b.com/", "c")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select record_id, url_key, status, response_id, headers from ({oracle_sql()['op4_warc_revisits']})").fetchall()
+    got = queries()["op4_warc_revisits"](spark, str(tmp_path)).select("record_id", "url_key", "status", "response_id", "headers").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and [r["status"] for r in got].count("orphan") == 2
+
+
 def test_language_model(docs, none):
     got = lm.score(docs, ~held_out(F.col("doc_id"), 5, 1), shortlist=20, head=30).collect()
     n, want = brute.base_scores(brute.rows())
