@@ -9,25 +9,31 @@ has ``FUNCTIONS`` projections on Gaussian (2-stable) directions, cut into slots
 A query visits buckets in the order of their estimated success: a neighbour of
 similarity s projects near ``s * projection`` with variance ``1 - s * s``, which gives
 each bucket the probability that it holds one.  It visits them until their sum reaches
-what ``SUCCESS`` over all tables needs.  s is that of the k-th neighbour, estimated on a
-bounded sample of ``SAMPLE`` vectors: for each the k-th of its neighbours, at the
-sample's scale, and of these the ``LOW`` quantile, so that a dense group doesn't speak
-for the rest.  Everything else covers all rows.
+what ``SUCCESS`` over all tables needs.  s is that of the query's own k-th neighbour,
+estimated, at the sample's scale, on a bounded sample of ``SAMPLE`` vectors, so that a
+query in a dense group visits few buckets and one far from all visits many.
+Everything else covers all rows.
 
 Equal vectors are one entry with its ``k + 1`` smallest ids (no more can be needed).
-Entries and the queries that visit them meet by table and the slot of its first
-function, in blocks of bounded size on both sides; each block returns its best
-candidates of each query, and the candidates of all blocks are merged.  Scores are
-double-precision inner products of the original vectors.
-
-Edge cases: vectors that are null, zero, of a length other than the commonest, or hold
-a null or non-finite component take no part, nor do rows with a null id; with fewer
-candidates than k all that are found come back; ties go to the smaller id.
+Entries and the queries that visit them meet by table and cell (the slots of the first
+functions), in blocks of bounded size on both sides.  Within a block each bucket's entries
+are multiplied with the queries that visit this bucket, and with no others.  A block
+returns of each query all candidates down to its k-th score, ties included, and the
+candidates of all blocks and tables are merged.  Scores are double-precision inner
+products of the original vectors.
+
+Edge cases: vectors that are null, zero, or hold a null or non-finite component take no
+part, nor do rows with a null id.  Repeated rows are one; of rows with one id and different
+vectors the least vector counts.  An inner product needs equal lengths, so the vectors of
+each length are searched among themselves.  With fewer candidates than k all that are
+found come back; ties go to the smaller id, however many there are.  Other columns, of
+any name, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,22 +43,25 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import arrow_map, staged
 
-TABLES, FUNCTIONS, SLOT, REACH = 3, 4, 1.0, 3
-SUCCESS = 0.97
+TABLES, FUNCTIONS, SLOT, REACH = 2, 8, 1.0, 1
+SUCCESS = 0.94
 SAMPLE = 2000
-LOW = 0.1
-ENTRY_BLOCK, QUERY_BLOCK = 32_768, 2048
+ENTRY_BLOCK, QUERY_BLOCK = 32_768, 8192
 WIDE = 2 * REACH + 1
+IN_CELL = WIDE**6  # buckets of a cell
 
 
 class Hashing:
-    """Directions and offsets of all tables; codes of vectors and visits of queries."""
+    """Directions and offsets of all tables; codes of vectors and visits of queries.
 
-    def __init__(self, dim: int, longest: float, similarity: float, tables: int = TABLES, seed: int = 5) -> None:
+    ``sample``: vectors on which the similarity of a query's k-th neighbour is estimated, as that of the ``place``-th there.
+    """
+
+    def __init__(self, dim: int, longest: float, sample: np.ndarray, place: int, tables: int = TABLES, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.direction = rng.normal(size=(tables, FUNCTIONS, dim + 1))
         self.offset = rng.uniform(0, SLOT, (tables, FUNCTIONS))
-        self.longest, self.similarity, self.tables = longest, similarity, tables
+        self.longest, self.sample, self.place, self.tables = longest, sample / longest, place, tables
         self.target = 1 - (1 - SUCCESS) ** (1 / tables)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
@@ -63,10 +72,17 @@ class Hashing:
         slot = np.clip(np.floor((at + self.offset[:, None, :]) / SLOT), -REACH, REACH).astype(np.int64) + REACH
         return slot @ (WIDE ** np.arange(FUNCTIONS - 1, -1, -1))
 
+    def similarity(self, q: np.ndarray) -> float:
+        """Estimate for the k-th neighbour of a unit query; the query itself may be in the sample, so one more is left out."""
+        near = self.sample @ q
+        place = min(len(near), self.place + 1)
+        return float(np.clip(np.partition(near, len(near) - place)[len(near) - place], 0.05, 0.98))
+
     def visits(self, q: np.ndarray) -> list[np.ndarray]:
         """For each table the buckets that a query visits, likeliest first."""
-        q = np.append(q / np.linalg.norm(q), 0.0)
-        s = self.similarity
+        q = q / np.linalg.norm(q)
+        s = self.similarity(q)
+        q = np.append(q, 0.0)
         spread = math.sqrt(max(1e-6, 1 - s * s))
         edge = np.arange(-REACH, REACH + 2) * SLOT
         edge[0], edge[-1] = -np.inf, np.inf
@@ -101,31 +117,62 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors])
 
 
+def block_candidates(v: np.ndarray, code: np.ndarray, q: np.ndarray, visited: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, entry, score) numbers of each query's candidates down to its k-th score, and how many products were made.
+
+    ``code``: bucket of each entry; ``visited``: flags (queries, buckets).  Only visited buckets are multiplied.
+    """
+    order = np.argsort(code, kind="stable")
+    bounds = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(code) else np.zeros(0, np.int64)
+    ends = np.append(bounds[1:], len(code))
+    step = max(1, (1 << 21) // max(1, len(v)))  # 16 MB of scores at a time
+    found, made = [], 0
+    for i in range(0, len(q), step):
+        scores = np.full((len(q[i : i + step]), len(v)), -np.inf)
+        for a, b in zip(bounds, ends, strict=True):
+            mine = order[a:b]
+            asks = np.flatnonzero(visited[i : i + step, code[mine[0]]])
+            if len(asks):
+                scores[np.ix_(asks, mine)] = q[i + asks] @ v[mine].T
+                made += len(asks) * len(mine)
+        most = min(k, scores.shape[1])
+        kth = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
+        margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0.0)))  # products of a block may be rounded otherwise
+        row, col = np.nonzero((scores >= (kth - margin)[:, None]) & (scores > -np.inf))
+        found.append((i + row, col, (q[i + row] * v[col]).sum(1)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), made
+    return *map(np.concatenate, zip(*found, strict=True)), made
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", *, tables: int = TABLES, block: int = ENTRY_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best found for each row where ``queries`` (of column vec_id) holds."""
     spark = vectors.sparkSession
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"  # kept as they are until they are compared
-    kind, element = ("array<float>", pa.float32()) if single else ("array<double>", pa.float64())
+    kind = "array<float>" if single else "array<double>"
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & _sound(F.col("v")))
-    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = lengths["dim"], lengths["n"]
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     place = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("rn", F.row_number().over(place)).where(F.col("rn") <= k + 1)
     entries = staged(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.col("ids")[0]), "entries")
+    asked = staged(rows.where(queries).select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    found = [_search(entries.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, k, tables, block, query_block) for dim in sorted(r[0] for r in asked.select(F.size("v")).distinct().collect())]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(entries: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, block: int, query_block: int) -> DataFrame:
+    """:func:`search` among vectors of one length: entries (v, ids, entry), asked (query_id, v)."""
+    spark = entries.sparkSession
+    kind = entries.schema["v"].dataType.simpleString()
+    vector = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    longest = entries.agg(F.max(norm)).first()[0]
+    n, longest = entries.agg(F.count("*"), F.max(norm)).first()
     order = F.pmod(F.xxhash64("entry"), F.lit(1 << 30))
-    some = entries.where(order < math.ceil(min(1.0, 4 * SAMPLE / entries.count()) * (1 << 30)))  # so that no task sends a sample of its own
+    some = entries.where(order < math.ceil(min(1.0, 4 * SAMPLE / n) * (1 << 30)))  # so that no task sends a sample of its own
     sample = _matrix([r["v"] for r in some.orderBy(order, "entry").limit(SAMPLE).select("v").collect()])
-    close = (sample / np.linalg.norm(sample, axis=1, keepdims=True)) @ (sample / longest).T
-    np.fill_diagonal(close, -1)
-    place = min(len(sample), max(1, math.ceil(k / n * len(sample))))
-    near = np.sort(close, axis=1)[:, len(sample) - place]
-    similarity = float(np.clip(np.quantile(near, LOW), 0.05, 0.98))
-    shipped = spark.sparkContext.broadcast(Hashing(dim, longest, similarity, tables))
+    shipped = spark.sparkContext.broadcast(Hashing(dim, longest, sample, max(1, math.ceil(k / n * len(sample))), tables))
 
     def hashed(batches):
         h = shipped.value
@@ -133,55 +180,44 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
             v = _matrix(b.column(1).to_pylist())
             codes = h.codes(v)
             for t in range(h.tables):
-                yield {"entry": b.column(0), "v": b.column(1), "t": np.full(len(v), t, np.int32), "slot": (codes[t] // WIDE ** (FUNCTIONS - 1)).astype(np.int32), "code": codes[t].astype(np.int32)}
+                yield {"entry": b.column(0), "v": b.column(1), "t": np.full(len(v), t, np.int32), "cell": (codes[t] // IN_CELL).astype(np.int32), "code": (codes[t] % IN_CELL).astype(np.int32)}
 
     def visiting(batches):
         h = shipped.value
         for b in batches:
             ids, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = {x: [] for x in ("query_id", "v", "t", "slot", "codes")}
+            out = {x: [] for x in ("query_id", "v", "t", "cell", "buckets")}
             for q, v in zip(ids, raw, strict=True):
                 for t, codes in enumerate(h.visits(np.asarray(v, np.float64))):
-                    slots = codes // WIDE ** (FUNCTIONS - 1)
-                    for slot in np.unique(slots):
-                        for key, x in zip(out, (q, v, t, int(slot), codes[slots == slot].tolist()), strict=True):
+                    flags = np.zeros((WIDE**FUNCTIONS // IN_CELL, IN_CELL), bool)
+                    flags.ravel()[codes] = True
+                    for cell in np.flatnonzero(flags.any(1)):
+                        for key, x in zip(out, (q, v, t, int(cell), np.packbits(flags[cell]).tobytes()), strict=True):
                             out[key].append(x)
             yield out
 
-    vector = pa.list_(element)
-    index = entries.select("entry", "v").mapInArrow(arrow_map(hashed, pa.schema([("entry", pa.int64()), ("v", vector), ("t", pa.int32()), ("slot", pa.int32()), ("code", pa.int32())])), f"entry long, v {kind}, t int, slot int, code int")
-    asked = rows.where(queries).mapInArrow(arrow_map(visiting, pa.schema([("query_id", pa.int64()), ("v", vector), ("t", pa.int32()), ("slot", pa.int32()), ("codes", pa.list_(pa.int32()))])), f"query_id long, v {kind}, t int, slot int, codes array<int>")
-    index, asked = staged(index, "index"), staged(asked, "visits")
-    size = index.groupBy("t", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias("cols")).join(asked.groupBy("t", "slot").agg(F.ceil(F.count("*") / query_block).cast("int").alias("rows")), ["t", "slot"])
-    size = F.broadcast(size)  # at most tables * (2 * REACH + 1) rows
+    index = entries.select("entry", "v").mapInArrow(arrow_map(hashed, pa.schema([("entry", pa.int64()), ("v", vector), ("t", pa.int32()), ("cell", pa.int32()), ("code", pa.int32())])), f"entry long, v {kind}, t int, cell int, code int")
+    visits = asked.mapInArrow(arrow_map(visiting, pa.schema([("query_id", pa.int64()), ("v", vector), ("t", pa.int32()), ("cell", pa.int32()), ("buckets", pa.binary())])), f"query_id long, v {kind}, t int, cell int, buckets binary")
+    index, visits = staged(index, "index"), staged(visits, "visits")
+    size = index.groupBy("t", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("cols")).join(visits.groupBy("t", "cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("rows")), ["t", "cell"])
+    size = F.broadcast(size)  # at most tables * WIDE ** FUNCTIONS / IN_CELL rows
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
-    left = index.join(size, ["t", "slot"]).select("t", "slot", deal("entry", "cols").alias("col"), each("rows").alias("row"), "entry", "v", "code")
-    right = asked.join(size, ["t", "slot"]).select("t", "slot", each("cols").alias("col"), deal("query_id", "rows").alias("row"), "query_id", "v", "codes")
+    left = index.join(size, ["t", "cell"]).select("t", "cell", deal("entry", "cols").alias("col"), each("rows").alias("row"), "entry", "v", "code")
+    right = visits.join(size, ["t", "cell"]).select("t", "cell", each("cols").alias("col"), deal("query_id", "rows").alias("row"), "query_id", "v", "buckets")
 
     def best(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(entries) and len(queries):
-            v, code, entry = _matrix(entries["v"]), entries["code"].to_numpy(), entries["entry"].to_numpy()
-            own, at = np.unique(code, return_inverse=True)
-            step = max(1, (1 << 21) // len(v))  # 16 MB of scores at a time
-            for i in range(0, len(queries), step):
-                some = queries.iloc[i : i + step]
-                q, ids = _matrix(some["v"]), some["query_id"].to_numpy()
-                visited = np.array([np.isin(own, c) for c in some["codes"]])
-                scores = np.where(visited[:, at], q @ v.T, -np.inf)
-                most = min(k + 4, scores.shape[1])
-                top = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                row = np.repeat(np.arange(len(q)), most)
-                col = top.ravel()
-                real = scores[row, col] > -np.inf
-                row, col = row[real], col[real]
-                found.append((ids[row], entry[col], (q[row] * v[col]).sum(1)))
-        if not found:
+        if not len(entries) or not len(queries):
             return pd.DataFrame({"query_id": [], "entry": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "entry", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    keys = ["t", "slot", "col", "row"]
+        visited = np.unpackbits(np.frombuffer(b"".join(queries["buckets"]), np.uint8).reshape(len(queries), -1), axis=1, count=IN_CELL).astype(bool)
+        entry, ids = entries["entry"].to_numpy(), queries["query_id"].to_numpy()
+        row, col, score, _ = block_candidates(_matrix(entries["v"]), entries["code"].to_numpy(), _matrix(queries["v"]), visited, k + 1)
+        order = np.lexsort((entry[col], -score, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        kept = order[place <= k]  # ties beyond go to larger ids
+        return pd.DataFrame({"query_id": ids[row[kept]], "entry": entry[col[kept]], "score": score[kept]})
+
+    keys = ["t", "cell", "col", "row"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, entry long, score double")
     found = found.groupBy("query_id", "entry").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")

@@ -32,9 +32,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only in local mode (tests) one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         found = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -9,17 +9,21 @@ likelihood: one language unless a larger set raises the log-likelihood by more t
 ``0.5 * ln(n) + slack * n`` for each language more (n trigrams).  The prediction is the
 largest proportion of the chosen set, which is also the score.
 
-Edge cases: null text, or text without a letter, is ``und`` with score 0; so is every
-text if nothing was learned; a null label is not learned from; one class gives score 1.
+Edge cases: null text, or text without a letter (Unicode category L), is ``und`` with score 0;
+so is every text if nothing was learned; a null label is not learned from; one class gives
+score 1.  Equal likelihoods go to the language that comes first by name.  Repeated rows are
+rows of their own, in learning and prediction; texts are read whole, however long; ``keep``
+columns of any name but ``_text``, ``lang_pred``, ``score`` and ``lang_set`` pass through
+(these raise an error); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ from loomgraph.llm.common import arrow_map, small_batches
 
 GRAMS = 8192
 SLACK = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACED = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 
 
@@ -142,6 +146,8 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "te
     shipped = spark.sparkContext.broadcast((names, logp))
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *keep)
     kept = rows.schema.fields[1:]
+    if taken := {f.name for f in kept} & {"_text", "lang_pred", "score", "lang_set"}:
+        raise ValueError(f"columns to keep have names of the result: {sorted(taken)}")
 
     def run(batches):
         names, logp = shipped.value

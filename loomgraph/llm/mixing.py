@@ -15,9 +15,11 @@ source in one task: hash ranges (``ranges`` a source) are summed first, prefix s
 them find the one range that the edge falls in, and only within ranges are documents
 ordered.  A hot source is spread over its ranges.
 
-Edge cases: null or blank text has size 0 and takes 0; a null source is a source of
-its own, last in the order; an empty table gives an empty table; repeated rows count as
-rows of their own; a null id is hashed as the empty string.
+Edge cases: null or blank text has size 0 and takes 0; a text of any length counts whole; a
+null source is a source of its own, last in the order; an empty table gives an empty table;
+repeated rows count as rows of their own, and which of equal rows is cut makes no difference;
+a row with a null id is placed by its text (``key``), so that many of them spread over the
+ranges.  Other columns, of any name, are carried in the struct.
 """
 
 from __future__ import annotations
@@ -31,9 +33,14 @@ CAP = 2.0
 SEED = "mix-1"
 
 
-def order_hash(doc_id: Column, seed: str = SEED) -> Column:
-    """52 bits of md5(seed:id)."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def key(doc_id: Column, text: Column) -> Column:
+    """What a document is ordered by: its id, or, where that is null, its text's hash."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def order_hash(key: Column, seed: str = SEED) -> Column:
+    """52 bits of md5(seed:key)."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
@@ -61,13 +68,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source", *, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, ranges: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source", *, key: Column | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, ranges: int = 4096) -> DataFrame:
     """Add ``size, source_size, target, taken`` (words the mix takes) to each row.
 
+    ``key``: what orders a row, the id if not given (see :func:`key`).
     ``docs`` is read twice (sizes, then rows); its columns are kept in a struct, so
     any column names may occur.  Returns ``row`` (the struct) and the four columns.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size"), order_hash(F.col(f"`{doc_id}`"), seed).alias("_h"), F.col(f"`{doc_id}`").alias("_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source}`").cast("string").alias("source"), size.cast("long").alias("size"), order_hash(F.col(f"`{doc_id}`") if key is None else key, seed).alias("_h"), F.col(f"`{doc_id}`").alias("_id"))
     rows = rows.withColumn("_range", F.shiftright(F.col("_h"), 40) % ranges)
     sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     sizes = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))

@@ -16,10 +16,13 @@ sent: its task takes one text after another that is not yet in the largest group
 compares it to all others at once, and returns each text's group.  Every pair of a
 bucket is thus in one group, or compared.  A bucket of over ``CHUNK`` texts is dealt to
 chunks that share one text; afterwards what lies outside its largest group is compared, in
-blocks, to the whole bucket.  Groups are the components of these links.
+blocks of ``BLOCK``, to the whole bucket.  Groups are the components of these links.
 
 Edge cases: texts without words are never near-duplicates; null ids sort last as
-representatives; repeated rows are copies.  ``docs`` is scanned twice in the same order.
+representatives; repeated rows are copies; a text of any length is compared whole; other
+columns, of any name, are ignored; an empty table gives an empty result.  ``docs`` is scanned
+twice and must give its rows in one order, as a file scan does; where the second scan's text
+has other words than the first's, an error is raised.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ from loomgraph.llm.graph import components
 REGISTERS, ROWS = 64, 4
 SHINGLE = 5
 SIMILARITY = 0.8
-CHUNK = 1000
+CHUNK = 250
+BLOCK = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +120,7 @@ def _groups(sets: list[np.ndarray], similarity: float, asked: np.ndarray | None
         parent[np.isin(parent, joined)] = joined.min()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the least id of its group), keep (true for one document of each group), rid (place in the scan)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -142,16 +146,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, simi
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(tid))").alias("x"), F.expr("bit_xor(xxhash64(tid, 1))").alias("y"), F.min("tid").alias("first")).where("n > 1")
     buckets = buckets.groupBy("n", "x", "y", "first").agg(F.min("key").alias("key"))  # buckets with the same members are one
     members = staged(banded.join(buckets.select("key", "n", "first"), "key"), "members")
+    wanted = members.select("tid").distinct().join(texts.select("tid", "content"), "tid")
 
     def packed(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield {"tid": b.column(0), "body": [c.compress(b" ".join((x or "").encode().split())) for x in b.column(1).to_pylist()]}
+            texts = [b" ".join((x or "").encode().split()) for x in b.column(1).to_pylist()]
+            yield {"tid": b.column(0), "body": [c.compress(x) for x in texts], "is": [hashlib.md5(x).digest() for x in texts]}
 
-    bodies = rows.select("rid", "text").mapInArrow(arrow_map(packed, pa.schema([("tid", pa.int64()), ("body", pa.binary())])), "tid long, body binary")
-    wanted = members.select("tid").distinct()
+    bodies = rows.select("rid", "text").mapInArrow(arrow_map(packed, pa.schema([("tid", pa.int64()), ("body", pa.binary()), ("is", pa.binary())])), "tid long, body binary, is binary")
     # a merge join at every size: each text moves once, compressed, and what is wanted is never broadcast
-    bodies = staged(bodies.join(wanted.hint("merge"), "tid", "left_semi"), "bodies")
+    same = F.when(F.col("is") == F.col("content"), F.col("body")).otherwise(F.raise_error(F.lit("a text differs between two scans: the input's rows came in another order")))
+    bodies = staged(bodies.join(wanted.hint("merge"), "tid").select("tid", same.alias("body")), "bodies")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     dealt = members.select("key", "n", "first", "tid", F.pmod(F.xxhash64("tid"), chunks).cast("int").alias("chunk"))
     shared = members.where((F.col("n") > chunk) & (F.col("tid") == F.col("first"))).select("key", "n", "first", "tid", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
@@ -177,7 +183,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, simi
         largest = big.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"))
         big = big.join(largest, "key").withColumn("outside", F.col("label") != F.col("top.label"))
         out = big.groupBy("key").agg(F.count_if("outside").alias("outs")).where("outs > 0")
-        big = big.join(out, "key").select("key", "tid", "outside", F.ceil(F.col("outs") / chunk).cast("int").alias("rows"), F.ceil(F.col("n") / chunk).cast("int").alias("cols"))
+        big = big.join(out, "key").select("key", "tid", "outside", F.ceil(F.col("outs") / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("cols"))
         deal = lambda side: F.pmod(F.xxhash64("tid", F.lit(side)), F.col(side)).cast("int")
         targets = big.withColumn("col", deal("cols")).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("asks", F.lit(False))
         askers = big.where("outside").withColumn("row", deal("rows")).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("asks", F.lit(True))

@@ -35,6 +35,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     """Two captures of each page: its response, and two days later a not-modified answer to the same URL.
 
     The answer's validators are those of the page; every 7th has no entity tag, every 11th a stale one.
+    Every 13th response is a 404 and so not full.
     """
     tag = F.substring(F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), 1, 16)
     date = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("day-"), F.col("page_id").cast("string")))
@@ -44,8 +45,8 @@ def page_captures(pages: DataFrame) -> DataFrame:
     again = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=120"), F.lit("age"), F.lit("1"))
     both = F.explode(
         F.array(
-            F.struct((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), (F.col("page_id") * 60).alias("ts"), F.col("tag").alias("etag"), F.col("date").alias("last_modified"), first.alias("headers")),
-            F.struct((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), (F.col("page_id") * 60 + 172830).alias("ts"), seen.alias("etag"), F.col("date").alias("last_modified"), again.alias("headers")),
+            F.struct((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), (F.col("page_id") * 60).alias("ts"), F.col("tag").alias("etag"), F.col("date").alias("last_modified"), first.alias("headers"), F.when(F.col("page_id") % 13 == 0, 404).otherwise(200).alias("status_code")),
+            F.struct((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), (F.col("page_id") * 60 + 172830).alias("ts"), seen.alias("etag"), F.col("date").alias("last_modified"), again.alias("headers"), F.lit(304).alias("status_code")),
         )
     )
     return rows.select("url", both.alias("c")).select("url", "c.*")
@@ -71,7 +72,7 @@ k AS (
 again AS (
   SELECT url_key, page_id * 2 + 1 AS record_id, page_id * 60 + 172830 AS ts,
          CASE WHEN page_id % 11 = 0 THEN 'stale' WHEN page_id % 7 > 0 THEN tag END AS etag, lm FROM k),
-full_ AS (SELECT url_key, page_id * 2 AS response_id, page_id * 60 AS ts, tag, lm AS olm, n FROM k),
+full_ AS (SELECT url_key, page_id * 2 AS response_id, page_id * 60 AS ts, tag, lm AS olm, n FROM k WHERE page_id % 13 <> 0),
 m AS (SELECT a.*, f.response_id, f.tag, f.olm, f.n FROM again a ASOF LEFT JOIN full_ f ON a.url_key = f.url_key AND a.ts >= f.ts),
 s AS (
   SELECT *, CASE WHEN response_id IS NULL THEN 'orphan'
@@ -115,15 +116,15 @@ def op9_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("n_words"))
-    mixed = mixing.mix(docs, F.col("n_words"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("n_words"), mixing.key(F.col("doc_id"), F.col("text")).alias("key"))
+    mixed = mixing.mix(docs, F.col("n_words"), key=F.col("key"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT AS h
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

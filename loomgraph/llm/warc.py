@@ -7,30 +7,39 @@ comparison; without a tag on both sides, last-modified), and merges the headers:
 the stored response, replaced by those of the 304, except the fields that a 304 may not
 change (body fields and hop-by-hop fields).
 
-The as-of join is exact and has no hot task: the captures of a URL are dealt to time
-slices; a window finds the latest response within a slice, and a second window over
-one row a slice carries the last response of earlier slices forward.  Bodies
-don't move: the join is over ids, times and validators, and bodies are joined at the
-end, by id, where they're asked for.
+The as-of join is exact and has no hot task.  Captures are first summed up by URL and
+second: of all responses of a second the last one.  A window within a time slice (at most
+``slice_seconds`` rows) carries the last response forward, and a second window over one
+row a slice carries it across slices.  The revisits join the answer of their URL and
+second, which is one row, so a hot side can be split.  Bodies don't move.
 
 Each revisit gets ``status``: ``resolved``; ``mismatch`` if the validators
 differ; ``unchecked`` if neither side has a validator to compare; ``orphan`` without an
-earlier response.  Equal times: a response counts as earlier than a revisit at its time;
-of two responses at one time the larger id is the later.  A null URL or time matches
-nothing; such a revisit is an ``orphan`` with ``unkeyed`` and has no row without.  Extra columns are ignored; an empty table gives an empty result.
-
-:func:`write` and :func:`read` are the files: one gzip member a record.
+earlier response.
+
+Edge cases: equal times: a response counts as earlier than a revisit at its time; of
+responses at one time the larger id is the later (then the larger validators and headers).
+A response whose ``status_code`` is not 200 is not full and is passed over; without that
+column, or where it is null, it counts as 200.  A null URL or time matches nothing; such a
+revisit is an ``orphan`` with ``unkeyed`` and has no row without.  Each revisit row has
+one result row: repeated revisits have repeated results, and repeated responses add none.
+Header names differ by more than case: of names that differ by case alone the last in byte
+order counts, and merged headers have lower-case names.  Null headers are none; values of
+any length pass.  Extra columns, of any name, are ignored; an empty table gives an empty result.
+
+:func:`write` and :func:`read` are the files: WARC files, one gzip member a record.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +48,7 @@ from loomgraph.llm.common import arrow_map, small_batches
 # Fields of a stored response that a 304 doesn't replace (HTTP caching, connection and body fields).
 KEPT_FIELDS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 SLICE_SECONDS = 86_400
+FILE_BYTES = 1 << 30
 
 
 def canonical_url(url: Column) -> Column:
@@ -62,48 +72,52 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with lower-case names; of names that differ by case the last in byte order counts; null is none."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"]))
+
+
 def latest_response(captures: DataFrame, slice_seconds: int = SLICE_SECONDS, unkeyed: bool = False) -> DataFrame:
-    """record_id of each revisit with ``found``: id, etag, last_modified of the latest earlier response (or null).
+    """record_id, url_key, validators and headers of each revisit, and ``found``: those of the latest earlier full response (or null).
 
-    ``captures``: record_id, url, ts (seconds), kind ('response' or 'revisit'), etag, last_modified.
+    ``captures``: record_id, url, ts (seconds), kind ('response' or 'revisit'), etag, last_modified, headers,
+    and status_code, if it has one.
     """
-    rows = captures.select(canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), F.col("record_id").cast("long").alias("record_id"), "kind", "etag", "last_modified")
-    full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified"))
-    late = (F.col("kind") == "revisit").cast("int")
-    keyless = rows.where("kind = 'revisit' and (url_key is null or ts is null)")
-    rows = rows.where("url_key is not null and ts is not null").withColumn("slice", F.floor(F.col("ts") / slice_seconds)).withColumn("full", full).withColumn("late", late)
-    inside = Window.partitionBy("url_key", "slice").orderBy("ts", "late", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.withColumn("near", F.last("full", ignorenulls=True).over(inside))
-    ends = rows.groupBy("url_key", "slice").agg(F.max(F.when(F.col("full").isNotNull(), F.struct("ts", "record_id", "full"))).alias("end"))
+    code = F.col("status_code").cast("int") if "status_code" in captures.columns else F.lit(None).cast("int")
+    rows = captures.select(canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), F.col("record_id").cast("long").alias("record_id"), "kind", "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), F.coalesce(code, F.lit(200)).alias("code"))
+    keyed = rows.where("url_key is not null and ts is not null").withColumn("slice", F.floor(F.col("ts") / slice_seconds))
+    own = F.struct("record_id", "etag", "last_modified", "headers")
+    full = (F.col("kind") == "response") & (F.col("code") == 200)
+    order = F.when(full, F.struct("record_id", "etag", "last_modified", F.to_json(F.map_entries("headers"))))
+    moments = keyed.where(full | (F.col("kind") == "revisit")).groupBy("url_key", "slice", "ts").agg(F.max_by(own, order).alias("full"), F.max(F.col("kind") == "revisit").alias("asks"))
+    moments = moments.withColumn("near", F.last("full", ignorenulls=True).over(Window.partitionBy("url_key", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = moments.groupBy("url_key", "slice").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.col("ts"))).alias("end"))
     before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("far", F.last("end.full", ignorenulls=True).over(before)).select("url_key", "slice", "far")
-    asked = found.where("kind = 'revisit'").select("url_key", "slice", "record_id", "etag", "last_modified", "near")
-    matched = asked.join(ends, ["url_key", "slice"], "left").select("record_id", "url_key", "etag", "last_modified", F.coalesce("near", "far").alias("found"))
+    ends = ends.withColumn("far", F.last("end", ignorenulls=True).over(before)).select("url_key", "slice", "far")
+    answers = moments.where("asks").join(ends, ["url_key", "slice"]).select("url_key", "ts", F.coalesce("near", "far").alias("found"))
+    asked = keyed.where("kind = 'revisit'").select("url_key", "ts", "record_id", "etag", "last_modified", "headers")
+    matched = asked.join(answers, ["url_key", "ts"], "left").drop("ts")
     if not unkeyed:
         return matched
-    return matched.unionByName(keyless.select("record_id", "url_key", "etag", "last_modified", F.lit(None).cast(matched.schema["found"].dataType).alias("found")))
+    keyless = rows.where("kind = 'revisit' and (url_key is null or ts is null)")
+    return matched.unionByName(keyless.select("url_key", "record_id", "etag", "last_modified", "headers", F.lit(None).cast(matched.schema["found"].dataType).alias("found")))
 
 
 def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS, unkeyed: bool = False) -> DataFrame:
     """record_id, url_key, status, response_id and merged ``headers`` of each revisit.
 
     With ``unkeyed`` also of revisits without a URL or time, which are orphans.
-    ``captures`` also has ``headers``, a map by lower-case field name (null: none).
     """
-    matched = latest_response(captures, slice_seconds, unkeyed)
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("found.last_modified").isNotNull()
     same = F.when(tags, _weak(F.col("etag")) == _weak(F.col("found.etag"))).when(dates, F.col("last_modified") == F.col("found.last_modified"))
     status = F.when(F.col("found").isNull(), "orphan").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
-    matched = matched.select("record_id", "url_key", status.alias("status"), F.col("found.record_id").alias("response_id"))
-    own = captures.where("kind = 'revisit'").select(F.col("record_id").cast("long").alias("record_id"), F.col("headers").alias("new"))
-    stored = captures.where("kind = 'response'").select(F.col("record_id").cast("long").alias("response_id"), F.col("headers").alias("old"))
-    joined = matched.join(own, "record_id", "left").join(stored, "response_id", "left")
-    none = F.create_map().cast("map<string,string>")
-    new = F.map_filter(F.coalesce("new", none), lambda k, _: ~F.lower(k).isin(*KEPT_FIELDS))
-    old = F.map_filter(F.coalesce("old", none), lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    merged = F.when(F.col("status") == "resolved", F.map_concat(old, new))
-    return joined.select("record_id", "url_key", "status", "response_id", merged.alias("headers"))
+    new = F.map_filter("headers", lambda k, _: ~k.isin(*KEPT_FIELDS))
+    old = F.map_filter("found.headers", lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    merged = F.when(status == "resolved", F.map_concat(old, new))
+    return latest_response(captures, slice_seconds, unkeyed).select("record_id", "url_key", status.alias("status"), F.col("found.record_id").alias("response_id"), merged.alias("headers"))
 
 
 def _head(fields: dict[str, str]) -> bytes:
@@ -130,10 +144,11 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, content) of each record of a plain or gzip WARC file; a damaged tail ends the file."""
-    stream = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
+def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, content) of each record of a plain or gzip WARC file, read as it goes; a damaged tail ends the file."""
+    head = stream.read(2)
+    stream.seek(0)
+    if head == b"\x1f\x8b":
         stream = gzip.GzipFile(fileobj=stream)
     try:
         while True:
@@ -155,41 +170,72 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         return
 
 
-def write(captures: DataFrame, path: str) -> None:
-    """Write captures (record_id, url, date, kind, headers, body) as files of WARC records, a file a partition.
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path within it; a path without a scheme is local."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
-    The files go through Spark's binary-safe text of one base64 record a line, so any
-    store that Spark writes to will do.
+
+def write(captures: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Write captures (record_id, url, date, kind, headers, body) as WARC files and return their names.
+
+    A partition fills ``part-<partition>-<number>.warc.gz`` one after another, each up to about
+    ``file_bytes``.  A file is moved to its name once it is whole, and a retried task writes
+    the same names, so a lost executor leaves no half or double file.  ``path`` must be in a store that
+    the executors share (a URI that pyarrow knows, or a mounted folder).
     """
-    schema = pa.schema([("value", pa.string())])
 
-    def lines(batches):
-        import base64
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, folder = _store(path)
+        fs.create_dir(folder, recursive=True)
+        stem = f"{folder}/part-{task.partitionId():05d}"
+        number, out, held = 0, None, 0
+        own = f"{folder}/_{task.taskAttemptId()}.tmp"
+
+        def close():
+            out.close()
+            fs.move(own, f"{stem}-{number:05d}.warc.gz")
+            return {"path": [f"{stem}-{number:05d}.warc.gz"]}
 
         for b in batches:
             c = {n: b.column(i).to_pylist() for i, n in enumerate(("record_id", "url", "date", "kind", "headers", "body"))}
-            yield {"value": [base64.b64encode(record_bytes(k, u or "", d or "", dict(h or []), x, r or 0)).decode() for r, u, d, k, h, x in zip(*c.values(), strict=True)]}
+            for r, u, d, k, h, x in zip(*c.values(), strict=True):
+                data = record_bytes(k, u or "", d or "", dict(h or []), x, r or 0)
+                if out is None:
+                    out, held = fs.open_output_stream(own), 0
+                out.write(data)
+                held += len(data)
+                if held >= file_bytes:
+                    yield close()
+                    number, out = number + 1, None
+        if out is not None:
+            yield close()
 
     small_batches(captures.sparkSession)
-    captures.select("record_id", "url", "date", "kind", "headers", "body").mapInArrow(arrow_map(lines, schema), "value string").write.text(path)
+    rows = captures.select("record_id", "url", "date", "kind", "headers", "body")
+    return sorted(r[0] for r in rows.mapInArrow(arrow_map(run, pa.schema([("path", pa.string())])), "path string").collect())
 
 
-def read(spark: SparkSession, path: str, encoded: bool = False) -> DataFrame:
-    """url, date, kind, status_code, headers and body of the records under ``path``.
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """url, date, kind, status_code, headers and body of the records of the WARC files under ``path``, a task a file.
 
-    ``encoded``: files as :func:`write` leaves them; else WARC files, each read whole by one task.
+    A file is read as a stream, so its length isn't bounded; a record is one row.
     """
-    rows = spark.read.text(path).select(F.unbase64("value").alias("data")) if encoded else spark.read.format("binaryFile").load(path).select(F.col("content").alias("data"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # lists, and reads no content
     texts = pa.map_(pa.string(), pa.string())
     schema = pa.schema([("url", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("status_code", pa.int32()), ("headers", texts), ("body", pa.binary())])
 
     def parse(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
-                for fields, content in records(data or b""):
-                    head, _, body = content.partition(b"\r\n\r\n")
-                    first, _, rest = head.partition(b"\r\n")
-                    code = first.split()[1:2]
-                    yield {"url": [fields.get("warc-target-uri")], "date": [fields.get("warc-date")], "kind": [fields.get("warc-type")], "status_code": [int(code[0]) if code and code[0].isdigit() else None], "headers": pa.array([list(_fields(rest).items())], texts), "body": [body]}
-
-    return rows.mapInArrow(arrow_map(parse, schema), "url string, date string, kind string, status_code int, headers map<string,string>, body binary")
+            for name in b.column(0).to_pylist():
+                fs, at = _store(name)
+                with fs.open_input_file(at) as stream:
+                    for fields, content in records(stream):
+                        head, _, body = content.partition(b"\r\n\r\n")
+                        first, _, rest = head.partition(b"\r\n")
+                        code = first.split()[1:2]
+                        yield {"url": [fields.get("warc-target-uri")], "date": [fields.get("warc-date")], "kind": [fields.get("warc-type")], "status_code": [int(code[0]) if code and code[0].isdigit() else None], "headers": pa.array([list(_fields(rest).items())], texts), "body": [body]}
+
+    return files.mapInArrow(arrow_map(parse, schema), "url string, date string, kind string, status_code int, headers map<string,string>, body binary")
