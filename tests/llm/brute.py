@@ -109,3 +109,33 @@ def base_scores(docs):
     n, v = sum(c.values()), len(c)
     score = lambda x: sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks(x))
     return n, [(d[0], len(toks(d[1])), sum(c[t] > 0 for t in toks(d[1])), score(d[1])) for d in docs]
+
+
+def token_counts(docs):
+    c = Counter()
+    for d in docs:
+        if not held(d[0], 5, 1):
+            c.update((d[1] or "").encode().lower().split() + [b""])
+    return c
+
+
+def model_scores(docs, symbols, p, classes, counts, shape):
+    """(id, tokens, log10 probability): a softmax over all symbols for each token, and a word's share of its class."""
+    out = []
+    for d in docs:
+        w = (d[1] or "").encode().lower().split() + [b""]
+        total, cache = 0.0, {}
+        number = lambda x, kind, at, most: at[x] if at.get(x, most) < most else most + kind
+        sym = [number(x, shape(x), symbols.at, symbols.short) for x in w]
+        group = [number(x, shape(x), symbols.at, symbols.groups - len(classes)) for x in w]
+        for i, x in enumerate(w):
+            far, near = (group[i - 2] if i > 1 else symbols.groups), (sym[i - 1] if i else symbols.n)
+            if (far, near) not in cache:
+                z = (p.far[far] + p.near[near]).astype(float) @ p.target[:, :-1].T.astype(float) + p.target[:, -1]
+                cache[far, near] = z - math.log(sum(math.exp(v) for v in z))
+            total += cache[far, near][sym[i]] / math.log(10)
+            if sym[i] >= symbols.short:
+                own = classes[sym[i] - symbols.short]
+                total += math.log10((counts[x] + 0.5) / (sum(own) + 0.5 * (len(own) + 1)))
+        out.append((d[0], len(w), total))
+    return out

@@ -207,20 +207,43 @@ def test_revisits_without_url_are_orphans(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and [r["status"] for r in got].count("orphan") == 3
 
 
-def test_language_model(docs, none):
-    got = lm.score(docs, ~held_out(F.col("doc_id"), 5, 1), shortlist=20, head=30).collect()
+def test_language_model(spark, docs, none):
+    training = ~held_out(F.col("doc_id"), 5, 1)
+    got = lm.score(docs, training, shortlist=20, least=3, head=30).collect()
     n, want = brute.base_scores(brute.rows())
     key = lambda r: (str(r[0]), r[1], r[2])
     for g, w in zip(sorted([(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in got], key=key), sorted(want, key=key), strict=True):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3])
     assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got)
-    assert lm.score(none, ~held_out(F.col("doc_id"), 5, 1)).count() == 0
+    assert lm.score(none, training).count() == 0
+    # the model's score against a plain softmax over all symbols, token by token
+    counts = brute.token_counts(brute.rows())
+    head = sorted(counts.items(), key=lambda t: (-t[1], t[0]))
+    symbols = lm.Symbols(*lm.most_frequent(lm.word_counts(docs.where(training)), 30), 20, 3)
+    assert symbols.short == 20 and symbols.at.keys() <= set(counts)
+    classes = {k: [c for i, (w, c) in enumerate(head) if i >= symbols.short and lm.shape(w) == k] for k in range(lm.SHAPES)}
+    times = np.array([c + 0.5 for _, c in head[: symbols.short]] + [sum(classes[k]) + 0.5 for k in range(lm.SHAPES)])
+    p = lm.fit(docs.where(training), spark.sparkContext.broadcast(symbols), times / times.sum())
+    plain = brute.model_scores(brute.rows(), symbols, p, classes, counts, lm.shape)
+    for g, w in zip(sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got), sorted((str(d), k, x) for d, k, x in plain), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-4, abs=1e-4)
 
 
 def test_language_model_is_normalised():
-    codes, counts = np.arange(0, 5 * 5 * 4, 3), np.ones(34)
-    logp = lm.train(codes, counts, 4, width=4, steps=20)
-    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-5) and logp.shape == (25, 4)
+    rng = np.random.default_rng(1)
+    unigram = rng.random(9) + 0.1
+    p = lm.Parameters(9, 4, unigram / unigram.sum(), width=3)
+    far, near = rng.integers(0, 5, 500), rng.integers(0, 10, 500)
+    lm.train(p, far, near, near % 9, unigram / unigram.sum(), 1, batch=50, noise=4, least_steps=400)
+    f, c = np.divmod(np.arange(50), 10)
+    logp = p.vector(f, c) @ p.target.T - p.normaliser()[f, c][:, None]
+    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
+    assert (logp.argmax(1) == c % 9).mean() > 0.9  # learned that a word follows itself
+
+
+def test_language_model_gains_on_held_out_text(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ~held_out(F.col("doc_id"), 5, 1)).where("held_out").toPandas()
+    assert (got["score"].sum() - got["base_score"].sum()) / got["n_tokens"].sum() > 0.2 and (got["score"] > got["base_score"]).mean() > 0.95
 
 
 def test_language(docs, none):
