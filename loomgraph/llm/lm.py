@@ -153,15 +153,15 @@ class Parameters:
 
     def normaliser(self) -> np.ndarray:
         """log sum over all symbols of exp(logit), (far, near)."""
-        left = self.far.astype(float) @ self.target[:, :-1].T
+        left = self.far @ self.target[:, :-1].T
         left_top = left.max(1, keepdims=True)
-        left = np.exp(left - left_top).astype(np.float32)
+        left = np.exp(left - left_top)
         out = np.empty((len(self.far), len(self.near)), np.float32)
-        for i in range(0, len(self.near), 1024):
-            right = self.near[i : i + 1024].astype(float) @ self.target[:, :-1].T + self.target[:, -1]
+        for i in range(0, len(self.near), 128):  # a few MB at a time
+            right = self.near[i : i + 128] @ self.target[:, :-1].T + self.target[:, -1]
             top = right.max(1, keepdims=True)
-            sums = left @ np.exp(right - top).astype(np.float32).T
-            out[:, i : i + 1024] = np.log(sums) + left_top + top.T
+            right -= top
+            out[:, i : i + 128] = np.log(left @ np.exp(right, out=right).T) + left_top + top.T
         return out
 
 
