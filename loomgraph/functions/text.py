@@ -51,11 +51,16 @@ def media_hash(refs: Column) -> Column:
 
 def script(text: Column) -> Column:
     """Dominant script; ``mixed`` below the share or from the floor of other scripts' characters; null without any."""
-    n = {name: F.length(text) - F.length(F.regexp_replace(text, f"[{block}]", "")) for name, block in SCRIPTS.items()}
-    total = n["devanagari"] + n["arabic"] + n["latin"]
-    wins = lambda c: (c >= DOMINANT_SHARE * total) & (total - c < MIXED_FLOOR)
-    found = F.when(total > 0, F.when(wins(n["latin"]), "latin").when(wins(n["devanagari"]), "devanagari").when(wins(n["arabic"]), "arabic").otherwise("mixed"))
-    return F.when(F.length(text) > 0, found)
+    outside = {name: F.length(F.regexp_replace(text, f"[{block}]+", "")) for name, block in SCRIPTS.items()}
+    counted = F.struct(*[(F.length(text) - n).alias(name) for name, n in outside.items()])
+
+    def decide(n: Column) -> Column:
+        total = n["devanagari"] + n["arabic"] + n["latin"]
+        wins = lambda c: (c >= DOMINANT_SHARE * total) & (total - c < MIXED_FLOOR)
+        return F.when(total > 0, F.when(wins(n["latin"]), "latin").when(wins(n["devanagari"]), "devanagari").when(wins(n["arabic"]), "arabic").otherwise("mixed"))
+
+    # a lambda's argument is computed once, however often it is named
+    return F.when(F.length(text) > 0, F.get(F.transform(F.array(counted), decide), F.lit(0)))
 
 
 def language(text: Column, text_script: Column | None = None) -> Column:

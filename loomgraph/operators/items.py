@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,13 @@ def clustered(items: DataFrame, edges: DataFrame) -> DataFrame:
     return items.join(endpoints(edges.where("origin = 'derived'")), "item_id", "left_semi")
 
 
+def sharing(pool: DataFrame) -> DataFrame:
+    """Items that share a hash of the pool with another: the ends of its pairs, found without making pairs."""
+    keyed = pool.select("item_id", F.when(F.col("field") == "media", "media").otherwise("text").alias("family"), "hash")
+    shared = keyed.groupBy("family", "hash").agg(F.min("item_id").alias("least"), F.max("item_id").alias("most")).where("least <> most").select("family", "hash")
+    return keyed.join(shared, ["family", "hash"], "left_semi").select("item_id").distinct()
+
+
 def qualified_edges(edges: DataFrame, items: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """Derived edges of the types with both ends among the items."""
     ids = items.select("item_id")
@@ -89,3 +97,11 @@ def provider_answers(rows: DataFrame, schema: str, answer: Callable[[dict], list
             yield pd.DataFrame(found, columns=names)
 
     return rows.mapInPandas(run, schema)
+
+
+def report(items: DataFrame, counted: dict[str, str], top: dict[str, tuple[str, int]]) -> DataFrame:
+    """(section, name, n): what a run prints: counts of each value of some columns, and the commonest values of others."""
+    by = lambda section, c: items.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), "name", "n")
+    parts = [by(section, c) for section, c in counted.items()]
+    parts += [by(section, c).orderBy(F.desc("n"), "name").limit(k) for section, (c, k) in top.items()]
+    return reduce(DataFrame.unionByName, parts)

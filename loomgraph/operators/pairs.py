@@ -34,6 +34,17 @@ def equal_pairs(pool: DataFrame) -> DataFrame:
     return pairs.select(F.col("item_id_src").alias("src_item_id"), F.col("item_id_dst").alias("dst_item_id"), "edge_type", "hash", F.col("field_src").alias("src_field"), F.col("field_dst").alias("dst_field"), "author_native_id_src", "author_native_id_dst", "published_at_src", "published_at_dst")
 
 
+def pair_counts(pool: DataFrame) -> DataFrame:
+    """(edge_type, n): how many pairs :func:`equal_pairs` has, from the sizes of the groups.
+
+    Rows of one item don't pair with each other: of n rows, k_i of item i, (n * n - sum k_i * k_i) / 2 pairs.
+    """
+    family = F.when(F.col("field") == "media", "shared_media").otherwise("near_duplicate_text")
+    own = pool.groupBy(family.alias("edge_type"), "hash", "item_id").agg(F.count("*").alias("k"))
+    sizes = own.groupBy("edge_type", "hash").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    return sizes.groupBy("edge_type").agg(F.expr("sum((n * n - same) div 2)").alias("n")).where("n > 0")
+
+
 def shared_media(items: DataFrame) -> DataFrame:
     return equal_pairs(hash_pool(items, ("media",)))
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.fuzzy import ratio, token_set_ratio
-from loomgraph.functions.records import entity_type
+from loomgraph.functions.records import entity_type, parse_adjudication
 from loomgraph.functions.text import normalize_name, pair_key
+from loomgraph.operators.items import provider_answers
+from loomgraph.session import cut
 
 CANDIDATE_SCORE = 65.0
 AUTO_SCORE = 93.0
@@ -44,6 +47,24 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame) -> dic
     return {"entities": state, "aliases": aliases.unionByName(fresh), "item_entities": links}
 
 
+def load_seeds(seeds: DataFrame, entities: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, aliases, new entities) after seeding.  Loading again changes nothing.
+
+    ``seeds``: canonical_name, entity_type, alias.  A seed whose canonical name is known, as a name
+    or an alias, leaves what is there untouched; a new one has no observations yet, and its
+    aliases are added where they are free (of seeds that claim one, the first by name gets it).
+    """
+    known = entities.select(F.col("canonical_name_normalized").alias("name")).union(aliases.select("surface_form_normalized")).distinct()
+    rows = seeds.withColumn("name", normalize_name(F.col("canonical_name"))).join(known, "name", "left_anti")
+    rows = rows.withColumn("entity_id", F.concat(F.lit("e:"), F.sha2(F.col("name"), 256)))
+    new = rows.groupBy("entity_id", F.col("name").alias("canonical_name_normalized")).agg(F.min(F.struct("canonical_name", "entity_type")).alias("n"))
+    new = new.select("entity_id", "n.canonical_name", "canonical_name_normalized", entity_type(F.lower("n.entity_type")).alias("entity_type"), F.lit("seed").alias("created_from"), F.lit(0).cast("long").alias("observation_count"))
+    forms = rows.withColumn("form", normalize_name(F.col("alias"))).groupBy("form").agg(F.min(F.struct((F.col("form") != F.col("name")).alias("k"), "name", "alias", "entity_id")).alias("s"))
+    forms = forms.join(aliases.select(F.col("surface_form_normalized").alias("form")), "form", "left_anti")
+    fresh = forms.select(F.col("form").alias("surface_form_normalized"), F.col("s.alias").alias("surface_form"), "s.entity_id")
+    return entities.unionByName(new), aliases.unionByName(fresh), new
+
+
 def candidate_pairs(names: DataFrame, decided: DataFrame | None = None, least: float = CANDIDATE_SCORE) -> DataFrame:
     """Pairs of entities of one type whose best score over their names reaches ``least``, best first.
 
@@ -59,49 +80,81 @@ def candidate_pairs(names: DataFrame, decided: DataFrame | None = None, least: f
     return best.orderBy(F.desc("score"), "pair_key")
 
 
-def merge_plan(candidates: DataFrame, entities: DataFrame, aliases: DataFrame, adjudicate: Callable[[dict], str], auto: float = AUTO_SCORE) -> tuple[list[dict], dict[str, str]]:
-    """Decisions in order, and merged id -> survivor.
+def merge_decisions(candidates: DataFrame, entities: DataFrame, aliases: DataFrame, adjudicate: Callable[[dict], str], auto: float = AUTO_SCORE) -> DataFrame:
+    """pair_key, score, ratio, method, decision, confidence, keep, drop of each pair that is decided.
 
-    The chain is sequential: once an entity is absorbed, later pairs that name it are
-    skipped.  Its input are the few candidate pairs, so the loop runs on the driver.
+    Pairs are decided as if one after another, best score first; a pair one of whose sides
+    was absorbed before is skipped.  What an earlier pair decides matters only to pairs that
+    share a side with it, so in each round all pairs that come first for both their sides
+    are decided at once, and only those that need it are put to ``adjudicate`` (a row to an
+    answer as JSON text, on the executors).  Names whose plain ratio reaches ``auto`` merge without asking.
     The survivor has more observations, then more aliases, then comes first.
     """
     counts = aliases.groupBy("entity_id").agg(F.count("*").alias("n"))
     facts = entities.join(counts, "entity_id", "left").select("entity_id", "canonical_name", "observation_count", F.coalesce("n", F.lit(0)).alias("n"))
-    sides = candidates
+    left = candidates
     for side in ("a", "b"):
-        sides = sides.join(facts.select(F.col("entity_id").alias(side), F.struct("canonical_name", "observation_count", "n").alias(f"of_{side}")), side)
-    sides = sides.withColumn("plain", ratio(F.col("of_a.canonical_name"), F.col("of_b.canonical_name"))).orderBy(F.desc("score"), "pair_key")
-    gone: dict[str, str] = {}
-    log: list[dict] = []
-    for row in sides.toLocalIterator():
-        if row["a"] in gone or row["b"] in gone:
-            continue
-        pair = row.asDict(recursive=True)
-        method = "auto" if row["plain"] >= auto else "adjudicator"
-        decision = "merge" if method == "auto" or adjudicate(pair) == "merge" else "reject"  # anything but a clear yes rejects
-        log.append({"pair_key": row["pair_key"], "decision": decision, "method": method, "score": row["score"]})
-        if decision == "merge":
-            rank = lambda s: (row[f"of_{s}"]["observation_count"], row[f"of_{s}"]["n"])  # noqa: B023, E731
-            keep, drop = ("b", "a") if rank("b") > rank("a") else ("a", "b")
-            gone[row[drop]] = row[keep]
-    return log, gone
-
-
-def apply_merges(entities: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], gone: dict[str, str]) -> dict[str, DataFrame]:
-    """Repoint every table (with its key) to the survivors; sums the merged entities' observation counts."""
-    spark = entities.sparkSession
-    final = {a: b for a, b in gone.items()}
-    for a in final:
-        while final[a] in final:
-            final[a] = final[final[a]]
-    survivors = spark.createDataFrame(list(final.items()), "entity_id string, survivor string")
-    moved = lambda df: df.join(survivors, "entity_id", "left").withColumn("entity_id", F.coalesce("survivor", "entity_id")).drop("survivor")
-    counts = moved(entities.select("entity_id", "observation_count")).groupBy("entity_id").agg(F.sum("observation_count").alias("total"))
-    out = {"entities": entities.join(survivors, "entity_id", "left_anti").join(counts, "entity_id").withColumn("observation_count", F.col("total")).drop("total")}
+        left = left.join(facts.select(F.col("entity_id").alias(side), F.struct("canonical_name", "observation_count", "n").alias(f"of_{side}")), side)
+    rank = lambda s: F.struct(f"of_{s}.observation_count", f"of_{s}.n")
+    second = rank("b") > rank("a")
+    left = left.withColumn("ratio", ratio(F.col("of_a.canonical_name"), F.col("of_b.canonical_name"))).withColumn("keep", F.when(second, F.col("b")).otherwise(F.col("a"))).withColumn("drop", F.when(second, F.col("a")).otherwise(F.col("b")))
+    left = left.withColumn("place", F.struct((-F.col("score")).alias("k"), "pair_key"))
+    left = cut(left.select("pair_key", "a", "b", "of_a.canonical_name", F.col("of_b.canonical_name").alias("other_name"), "score", "ratio", "keep", "drop", "place"), "pairs")
+    done: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("a", "b")).alias("side"), "place").groupBy("side").agg(F.min("place").alias("first"))
+        turn = left
+        for side in ("a", "b"):
+            turn = turn.join(ends.select(F.col("side").alias(side), F.col("first").alias(f"first_{side}")), side)
+        turn = turn.where("place = first_a and place = first_b").drop("first_a", "first_b")
+        alike = turn.where(F.col("ratio") >= auto).withColumn("answer", F.lit(None).cast("string"))
+        asked = turn.where(F.col("ratio") < auto)
+        answers = provider_answers(asked.select("pair_key", "canonical_name", "other_name", "score"), "pair_key string, answer string", lambda row: [{"pair_key": row["pair_key"], "answer": adjudicate(row)}])
+        both = alike.unionByName(asked.join(answers, "pair_key", "left").select(*alike.columns))
+        told = parse_adjudication(F.col("answer"))
+        sure = F.col("ratio") >= auto
+        made = both.select("pair_key", "a", "b", "score", "ratio", F.when(sure, "auto").otherwise("adjudicator").alias("method"), F.when(sure | told["same"], "merge").otherwise("reject").alias("decision"), F.when(sure, F.col("ratio") / 100).otherwise(told["confidence"]).alias("confidence"), "keep", "drop")
+        made = cut(made, "decisions")
+        done.append(made)
+        gone = made.where("decision = 'merge'").select("drop")
+        left = left.join(made.select("pair_key"), "pair_key", "left_anti")
+        for side in ("a", "b"):
+            left = left.join(gone.withColumnRenamed("drop", side), side, "left_anti")
+        left = cut(left, "pairs")
+    empty = left.select("pair_key", "a", "b", "score", "ratio", F.lit("").alias("method"), F.lit("").alias("decision"), F.lit(0.0).alias("confidence"), "keep", "drop")
+    return reduce(DataFrame.unionByName, done, empty)
+
+
+def survivors(decisions: DataFrame) -> DataFrame:
+    """(entity_id, survivor): where each absorbed entity ends up; chains are halved by joining the table with itself."""
+    at = cut(decisions.where("decision = 'merge'").select(F.col("drop").alias("entity_id"), F.col("keep").alias("survivor")), "survivors")
+    while True:
+        step = at.select(F.col("entity_id").alias("survivor"), F.col("survivor").alias("next"))
+        new = cut(at.join(step, "survivor", "left").select("entity_id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")), "survivors")
+        at = new.select("entity_id", "survivor")
+        if new.where("moved").isEmpty():
+            return at
+
+
+def apply_merges(entities: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], decisions: DataFrame) -> dict[str, DataFrame]:
+    """Repoint every table (with its key) to the survivors, and write down who absorbed whom (``log``).
+
+    Observation counts add up, and a seed among the merged makes the survivor a seed.  Where
+    rows come to have one key, the survivor's own row stays, else that of the least former id.
+    """
+    gone = survivors(decisions)
+    moved = lambda df: df.join(gone, "entity_id", "left").withColumn("_was", F.col("entity_id")).withColumn("entity_id", F.coalesce("survivor", "entity_id")).drop("survivor")
+    sums = moved(entities.select("entity_id", "observation_count", "created_from")).groupBy("entity_id").agg(F.sum("observation_count").alias("total"), F.bool_or(F.col("created_from") == "seed").alias("seeded"))
+    state = entities.join(gone, "entity_id", "left_anti").join(sums, "entity_id").withColumn("observation_count", F.col("total")).withColumn("created_from", F.when(F.col("seeded"), "seed").otherwise(F.col("created_from"))).drop("total", "seeded")
+    out = {"entities": state}
     for name, (df, key) in tables.items():
-        out[name] = moved(df).dropDuplicates(key)
-    return out
+        own = Window.partitionBy(*key).orderBy((F.col("_was") != F.col("entity_id")), "_was")
+        out[name] = moved(df).withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n", "_was")
+    named = entities.select("entity_id", "canonical_name")
+    log = decisions.where("decision = 'merge'").select(F.col("keep").alias("survivor_id"), F.col("drop").alias("merged_id"), "method", "confidence")
+    for side in ("survivor", "merged"):
+        log = log.join(named.select(F.col("entity_id").alias(f"{side}_id"), F.col("canonical_name").alias(f"{side}_name")), f"{side}_id")
+    return out | {"log": log}
 
 
 def stance_results(pending: DataFrame, answers: DataFrame, keep_neutral: bool = True) -> DataFrame:

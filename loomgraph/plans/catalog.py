@@ -6,9 +6,7 @@ tables.  Floats are rounded to 6 places on both sides; collected lists are sorte
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fuzzy, records
@@ -18,29 +16,13 @@ from loomgraph.operators import items as I
 from loomgraph.operators import pairs as P
 from loomgraph.operators import resolution as R
 from loomgraph.operators import rollups as U
-from loomgraph.plans.sql import COCLUSTER, ITEMS, MEMBERS, PAIRS, PROFILES, STANCE, query
+from loomgraph.plans.registry import QUERIES, SQL, register  # noqa: F401
+from loomgraph.plans.registry import rounded as _r
+from loomgraph.plans.sql import COCLUSTER, ITEMS, MEMBERS, PAIRS, PROFILES, STANCE, TOKEN_SET, query
 from loomgraph.session import cut, scratch
 from loomgraph.sources import adapter, readers, writers
 from loomgraph.streaming import collection
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
-
-
-def _r(c: Column | str, name: str) -> Column:
-    return F.round(c, 6).alias(name)
-
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.items(spark, sf_dir)
 
@@ -49,6 +31,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.equal_pairs(P.hash_pool(_items(spark, sf_dir), ("text", "media")))
 
 
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.hash_pool(_items(spark, sf_dir), ("text", "media"))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumn("origin", F.lit("derived"))
 
@@ -155,7 +141,7 @@ _ENDS = "ends AS (SELECT src_item_id AS item_id FROM pairs UNION SELECT dst_item
 
 @register("p3_clustered_items", query("SELECT item_id, lang FROM items WHERE item_id IN (SELECT item_id FROM ends)", ITEMS, PAIRS, _ENDS))
 def p3(spark, sf_dir):
-    return I.clustered(_items(spark, sf_dir), _edges(spark, sf_dir)).select("item_id", "lang")
+    return _items(spark, sf_dir).join(I.sharing(_pool(spark, sf_dir)), "item_id", "left_semi").select("item_id", "lang")
 
 
 @register("p5_qualified_edges", query("SELECT p.src_item_id, p.dst_item_id, p.edge_type FROM pairs p JOIN items a ON a.item_id = p.src_item_id JOIN items b ON b.item_id = p.dst_item_id WHERE a.lang = 'en' AND b.lang = 'en'", ITEMS, PAIRS))
@@ -183,7 +169,7 @@ def p9(spark, sf_dir):
 
 @register("p4_induced_subgraph", query("SELECT i.item_id, i.author_native_id, array_to_string(list_sort(list(DISTINCT e.surface_form)), ',') AS names FROM items i JOIN item_entities e ON e.item_id = i.item_id WHERE i.item_id IN (SELECT item_id FROM ends) GROUP BY ALL", ITEMS, PAIRS, _ENDS, r"""item_entities AS (SELECT item_id, lang AS surface_form FROM items UNION SELECT item_id, upper(lang) FROM items)"""))
 def p4(spark, sf_dir):
-    inside = I.clustered(_items(spark, sf_dir), _edges(spark, sf_dir))
+    inside = _items(spark, sf_dir).join(I.sharing(_pool(spark, sf_dir)), "item_id", "left_semi")
     names = inside.select("item_id", F.explode(F.array("lang", F.upper("lang"))).alias("name"))
     return inside.select("item_id", "author_native_id").join(names, "item_id").groupBy("item_id", "author_native_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
 
@@ -259,15 +245,19 @@ def j6(spark, sf_dir):
     return adapter.stance_edges(spark, sf_dir).join(entities, "entity_id").join(items.select("item_id", "author_native_id"), "item_id").select("item_id", "canonical_name", "polarity", "author_native_id")
 
 
-@register("j7_items_with_names", query("SELECT i.item_id, array_to_string(list_sort(list(DISTINCT e.surface_form) FILTER (WHERE e.surface_form IS NOT NULL)), ',') AS names FROM items i LEFT JOIN (SELECT * FROM item_entities WHERE confidence > 0.6 AND item_id LIKE '%2') e ON e.item_id = i.item_id GROUP BY i.item_id", ITEMS, _ITEM_ENTITIES))
+@register("j7_items_with_names", query("SELECT i.item_id, array_to_string(list_sort(list(DISTINCT e.surface_form) FILTER (WHERE e.surface_form IS NOT NULL)), ',') AS names FROM items i LEFT JOIN (SELECT item_id, nullif(surface_form, 'DE') AS surface_form FROM item_entities WHERE entity_id <> 'en') e ON e.item_id = i.item_id GROUP BY i.item_id", ITEMS, _ITEM_ENTITIES))
 def j7(spark, sf_dir):
-    some = _item_entities(spark, sf_dir).where("confidence > 0.6 and item_id like '%2'")
+    """Items with the names of their entities; some entities and some names are unknown."""
+    some = _item_entities(spark, sf_dir).where("entity_id <> 'en'").withColumn("surface_form", F.nullif("surface_form", F.lit("DE")))
     joined = _items(spark, sf_dir).select("item_id").join(some, "item_id", "left")
     names = F.sort_array(F.collect_set("surface_form"))
     return joined.groupBy("item_id").agg(F.when(F.size(names) > 0, F.array_join(names, ",")).alias("names"))
 
 
-@register("j10_candidate_pairs")
+_TYPED = "names AS (SELECT DISTINCT p_name AS name, p_type AS entity_type FROM part), pairs_of AS (SELECT x.name AS a, y.name AS b, x.entity_type FROM names x JOIN names y ON x.entity_type = y.entity_type AND x.name < y.name), compared AS (SELECT DISTINCT a, b FROM pairs_of)"
+
+
+@register("j10_candidate_pairs", query("SELECT p.a, p.b, p.entity_type, round(s.score, 6) AS score FROM pairs_of p JOIN scores s ON s.a = p.a AND s.b = p.b WHERE s.score >= 65", _TYPED, TOKEN_SET))
 def j10(spark, sf_dir):
     names = adapter.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("entity_type")).distinct()
     return R.candidate_pairs(names.withColumn("entity_id", F.col("name"))).select("a", "b", "entity_type", _r("score", "score"))
@@ -292,8 +282,8 @@ def j12(spark, sf_dir):
 
 @register("a1_counts_by_kind", query("SELECT source_type AS kind, count(*)::BIGINT AS n FROM items GROUP BY 1 UNION ALL SELECT edge_type, count(*)::BIGINT FROM pairs GROUP BY 1", ITEMS, PAIRS))
 def a1(spark, sf_dir):
-    by = lambda df, c: df.groupBy(F.col(c).alias("kind")).agg(F.count("*").alias("n"))
-    return by(_items(spark, sf_dir), "source_type").unionByName(by(_pairs(spark, sf_dir), "edge_type")).orderBy(F.desc("n"), "kind")
+    kinds = _items(spark, sf_dir).groupBy(F.col("source_type").alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.unionByName(P.pair_counts(_pool(spark, sf_dir)).withColumnRenamed("edge_type", "kind")).orderBy(F.desc("n"), "kind")
 
 
 @register("a2_time_range", query("SELECT count(*)::BIGINT AS n, min(published_at) AS first_at, max(published_at) AS last_at FROM items WHERE text_hash IS NOT NULL", ITEMS))
@@ -387,7 +377,7 @@ def a18(spark, sf_dir):
     return adapter.stance_edges(spark, sf_dir).groupBy("polarity").agg(F.count("*").alias("n"))
 
 
-@register("a20_best_name_score")
+@register("a20_best_name_score", query("SELECT a, b, round(score, 6) AS score FROM scores", "compared AS (SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name)", TOKEN_SET))
 def a20(spark, sf_dir):
     names = adapter.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("entity_type"), F.col("n_name").alias("entity_id"))
     return R.candidate_pairs(names, least=0.0).select("a", "b", _r("score", "score"))
@@ -446,7 +436,13 @@ def u1(spark, sf_dir):
 
 @register("u2_endpoints", query("SELECT item_id FROM ends", ITEMS, PAIRS, _ENDS))
 def u2(spark, sf_dir):
-    return I.endpoints(_edges(spark, sf_dir))
+    return I.sharing(_pool(spark, sf_dir))
+
+
+@register("p3_clustered_by_edges", query("SELECT item_id, lang FROM items WHERE item_id IN (SELECT item_id FROM ends)", ITEMS, PAIRS, _ENDS))
+def p3b(spark, sf_dir):
+    """The same over given edges, as where they were collected."""
+    return I.clustered(_items(spark, sf_dir), _edges(spark, sf_dir)).select("item_id", "lang")
 
 
 @register("u3_both_polarities", query("SELECT author_native_id FROM items i JOIN stance s ON s.item_id = i.item_id WHERE polarity = 'positive' INTERSECT SELECT author_native_id FROM items i JOIN stance s ON s.item_id = i.item_id WHERE polarity = 'negative'", ITEMS, STANCE))
@@ -499,7 +495,13 @@ def f6(spark, sf_dir):
     return adapter.table(spark, sf_dir, "documents").select("doc_id", T.script(F.col("text")).alias("script"))
 
 
-@register("f7_language")
+_COUNTED = ", ".join(f"len(list_filter(w, lambda x: list_contains([{', '.join(repr(c) for c in common)}], x))) AS n_{la}" for la, common in T.COMMON_WORDS.items())
+_LATIN = " ".join(f"WHEN n_{la} = greatest(n_de, n_en, n_es, n_fr) THEN '{la}'" for la in T.COMMON_WORDS)
+
+
+@register("f7_language", f"""SELECT doc_id, CASE WHEN length(text) >= 10 THEN CASE script WHEN 'latin' THEN CASE WHEN greatest(n_de, n_en, n_es, n_fr) > 0 THEN CASE {_LATIN} END END
+  WHEN 'devanagari' THEN 'hi' WHEN 'arabic' THEN CASE WHEN regexp_matches(text, '[ٹڈڑںھے]') THEN 'ur' ELSE 'ar' END END END AS language_detected
+FROM (SELECT d.doc_id, d.text, s.script, {_COUNTED} FROM (SELECT doc_id, text, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+') AS w FROM documents) d JOIN ({_SCRIPT}) s ON s.doc_id = d.doc_id)""")
 def f7(spark, sf_dir):
     return adapter.table(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("language_detected"))
 
@@ -545,7 +547,7 @@ def f18(spark, sf_dir):
     return adapter.table(spark, sf_dir, "orders").select("o_orderkey", _r(age, "days"))
 
 
-@register("f14_url_ids", r"SELECT page_id, nullif(regexp_extract(u, '(?:youtu\.be/|youtube\.com/watch\?v=)([\w-]{6,})', 1), '') AS video, nullif(regexp_extract(u, 'youtube\.com/channel/([\w-]+)', 1), '') AS channel FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://youtu.be/abc-' || page_id WHEN page_id % 3 = 1 THEN 'https://youtube.com/channel/ch_' || page_id ELSE url END AS u FROM pages)")
+@register("f14_url_ids", r"SELECT page_id, CASE WHEN u LIKE 'https://youtu.be/%' AND length(split_part(u, '/', 4)) >= 6 THEN split_part(u, '/', 4) END AS video, CASE WHEN u LIKE 'https://youtube.com/channel/%' THEN split_part(u, '/', 5) END AS channel FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://youtu.be/abc-' || page_id WHEN page_id % 3 = 1 THEN 'https://youtube.com/channel/ch_' || page_id ELSE url END AS u FROM pages)")
 def f14(spark, sf_dir):
     n = F.col("page_id").cast("string")
     url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://youtu.be/abc-"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://youtube.com/channel/ch_"), n)).otherwise(F.col("url"))
@@ -594,10 +596,14 @@ def f27(spark, sf_dir):
     return pairs.select("a", "b", _r(fuzzy.ratio(F.col("a"), F.col("b")), "ratio"))
 
 
-@register("f28_token_set_ratio")
+_VARIANT = "CASE WHEN p_partkey % 3 = 0 THEN upper(left(p_type, 1)) || p_name WHEN p_partkey % 3 = 1 THEN lower(p_brand) || ' ' || p_name ELSE lower(p_type) || ' ' || split_part(p_name, ' ', 2) END"
+
+
+@register("f28_token_set_ratio", query("SELECT p.p_partkey, p.a, p.b, round(s.score, 6) AS score FROM variants p JOIN scores s ON s.a = p.a AND s.b = p.b", f"variants AS (SELECT p_partkey, p_name AS a, {_VARIANT} AS b FROM part), compared AS (SELECT DISTINCT a, b FROM variants)", TOKEN_SET))
 def f28(spark, sf_dir):
-    names = adapter.table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("a")).distinct()
-    return names.groupBy("p_brand").agg(F.min("a").alias("a"), F.max("a").alias("b")).select("p_brand", "a", "b", _r(fuzzy.token_set_ratio(F.col("a"), F.col("b")), "score"))
+    """Each name against a variant of its own."""
+    names = adapter.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.expr(_VARIANT).alias("b"))
+    return names.select("p_partkey", "a", "b", _r(fuzzy.token_set_ratio(F.col("a"), F.col("b")), "score"))
 
 
 @register("f31_author_parts", query("SELECT item_id, source_type, author_native_id AS native_id FROM items", ITEMS))

@@ -103,16 +103,62 @@ def test_resolve_in_order(spark):
     assert {r["canonical_name"]: r["observation_count"] for r in again["entities"].collect()} == {"Acme": 2, "Modi": 6}
 
 
+def plain_merges(pairs, facts, ratio, yes, auto=93.0):
+    """The decisions of a loop over the pairs, best first."""
+    live, out = set(facts), {}
+    for a, b, score in sorted(pairs, key=lambda p: (-p[2], f"{p[0]}|{p[1]}")):
+        if a in live and b in live:
+            same = ratio(facts[a][0], facts[b][0]) >= auto or yes(facts[a][0])
+            keep, drop = (b, a) if facts[b][1:] > facts[a][1:] else (a, b)
+            out[f"{a}|{b}"] = (same, keep, drop)
+            live -= {drop} if same else set()
+    return out
+
+
 def test_merge_chain(spark):
-    ents = spark.createDataFrame([("a", "Ali Mirza", "", "person", "", 5), ("b", "Ali Mirzaa", "", "person", "", 1), ("c", "Mirza Ali", "", "person", "", 1)], catalog._ENTITY)
-    names = ents.select("entity_id", "entity_type", F.col("canonical_name").alias("name"))
-    aliases = spark.createDataFrame([("ali mirza", "Ali Mirza", "a")], catalog._ALIAS)
-    log, gone = resolution.merge_plan(resolution.candidate_pairs(names), ents, aliases, lambda pair: "unsure")
-    assert gone == {"b": "a"} and {x["decision"] for x in log} == {"merge", "reject"}
-    links = spark.createDataFrame([("1", "b"), ("1", "a"), ("2", "b")], "item_id string, entity_id string")
-    out = resolution.apply_merges(ents, {"links": (links, ["item_id", "entity_id"])}, gone)
-    assert {(r["item_id"], r["entity_id"]) for r in out["links"].collect()} == {("1", "a"), ("2", "a")}
-    assert {r["entity_id"]: r["observation_count"] for r in out["entities"].collect()} == {"a": 6, "c": 1}
+    """Rounds of pairs decide as the loop does, also where entities are absorbed on the way."""
+    import random
+
+    from loomgraph.functions.fuzzy import _ratio
+
+    rng = random.Random(3)
+    names = ["ali mirza", "ali mirzaa", "mirza ali", "alia mirza", "ali mirzas", "bo li", "bo lii", "bob li", "li bo"]
+    rows = [(f"e{i:02d}", rng.choice(names), "", "person", rng.choice(["seed", "discovered"]), rng.randint(0, 3)) for i in range(24)]
+    ents = spark.createDataFrame(rows, catalog._ENTITY)
+    aliases = spark.createDataFrame([(f"f{i}", "F", f"e{i % 5:02d}") for i in range(12)], catalog._ALIAS)
+    n_aliases = {f"e{i:02d}": sum(k % 5 == i for k in range(12)) for i in range(24)}
+    pairs = resolution.candidate_pairs(ents.select("entity_id", "entity_type", F.col("canonical_name").alias("name")))
+    answer = lambda row: '{"same_entity": true, "confidence": 1}' if len(row["canonical_name"]) % 2 else "unsure"
+    made = resolution.merge_decisions(pairs, ents, aliases, answer)
+    want = plain_merges([(r["a"], r["b"], r["score"]) for r in pairs.collect()], {r[0]: (r[1], r[5], n_aliases[r[0]]) for r in rows}, _ratio, lambda name: len(name) % 2)
+    assert {r["pair_key"]: (r["decision"] == "merge", r["keep"], r["drop"]) for r in made.collect()} == want
+    final = {drop: keep for same, keep, drop in want.values() if same}
+    end = lambda x: end(final[x]) if x in final else x
+    assert {r["entity_id"]: r["survivor"] for r in resolution.survivors(made).collect()} == {x: end(x) for x in final}
+    links = spark.createDataFrame([(f"i{k % 2}", f"e{k:02d}", k) for k in range(24)], "item_id string, entity_id string, mark long")
+    out = resolution.apply_merges(ents, {"links": (links, ["item_id", "entity_id"])}, made)
+    state = {r["entity_id"]: (r["observation_count"], r["created_from"]) for r in out["entities"].collect()}
+    for x in {end(r[0]) for r in rows}:
+        mine = [r for r in rows if end(r[0]) == x]
+        seed = any(r[4] == "seed" for r in mine)
+        assert state[x] == (sum(r[5] for r in mine), "seed" if seed else next(r[4] for r in mine if r[0] == x))
+    kept = {(r["item_id"], r["entity_id"]): r["mark"] for r in out["links"].collect()}
+    for (item, x), mark in kept.items():
+        mine = [k for k in range(24) if f"i{k % 2}" == item and end(f"e{k:02d}") == x]
+        assert mark == (int(x[1:]) if int(x[1:]) in mine else min(mine))
+    assert out["log"].count() == len(final)
+    assert resolution.merge_decisions(pairs.where("false"), ents, aliases, answer).count() == 0
+
+
+def test_seed_precedence_and_neutral(spark, tmp_path):
+    from loomgraph.sources import readers
+
+    (tmp_path / "s.csv").write_text("Name, Telegram HANDLE \nx, one \ny,\n")
+    got = lambda *a: sorted(r["handle"] for r in readers.seed_handles(spark, *a).collect())
+    assert got(["a"], str(tmp_path / "s.csv"), ["d"]) == ["a"] and got([], str(tmp_path / "s.csv"), ["d"]) == ["one"] and got([], None, ["d"]) == ["d"]
+    pending = spark.createDataFrame([("i", "e"), ("i", "f")], "item_id string, entity_id string")
+    answers = spark.createDataFrame([("i", "e", "positive", 0.5, 0.9)], "item_id string, entity_id string, polarity string, strength double, confidence double")
+    assert [r["entity_id"] for r in resolution.stance_results(pending, answers, keep_neutral=False).collect()] == ["e"]
 
 
 def test_provider_once_a_row(spark):
