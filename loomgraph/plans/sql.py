@@ -35,14 +35,14 @@ PROFILES = r"""judged AS (
 polar AS (
   SELECT author_id, entity_id, polarity, count(*) AS n, sum(strength) AS weight, min(moment) AS since, max(moment) AS until, list(DISTINCT narrative_id) FILTER (WHERE narrative_id IS NOT NULL) AS told
   FROM judged GROUP BY ALL),
-shared AS (SELECT *, n / sum(n) OVER (PARTITION BY author_id, entity_id) AS p FROM polar),
+weighed AS (SELECT *, n / sum(n) OVER (PARTITION BY author_id, entity_id) AS p FROM polar),
 profiles AS (
   SELECT author_id, entity_id, sum(n)::BIGINT AS volume, coalesce(any_value(n) FILTER (WHERE polarity = 'positive'), 0)::BIGINT AS positive_count,
          coalesce(any_value(n) FILTER (WHERE polarity = 'negative'), 0)::BIGINT AS negative_count, coalesce(any_value(n) FILTER (WHERE polarity = 'neutral'), 0)::BIGINT AS neutral_count,
          (coalesce(sum(weight) FILTER (WHERE polarity = 'positive'), 0) - coalesce(sum(weight) FILTER (WHERE polarity = 'negative'), 0)) / sum(n) AS net_stance,
          1 + sum(p * ln(p)) / ln(3) AS stance_consistency, min(since) AS first_seen, max(until) AS last_seen, date_diff('day', min(since), max(until))::BIGINT AS time_span_days,
          len(list_distinct(flatten(list(coalesce(told, [])))))::BIGINT AS narrative_spread
-  FROM shared GROUP BY ALL)"""
+  FROM weighed GROUP BY ALL)"""
 #: Scores of the pairs (a, b) of ``compared``: shared words, and what each side has besides.
 TOKEN_SET = r"""worded AS (SELECT a, b, list_sort(list_distinct(string_split(a, ' '))) AS wa, list_sort(list_distinct(string_split(b, ' '))) AS wb FROM compared),
 parted AS (SELECT a, b, list_filter(wa, lambda x: list_contains(wb, x)) AS s, list_filter(wa, lambda x: NOT list_contains(wb, x)) AS oa, list_filter(wb, lambda x: NOT list_contains(wa, x)) AS ob FROM worded),
