@@ -4,25 +4,30 @@ A window is ``WINDOW`` consecutive words of one document.  Each word covered by
 whose word sequence also starts earlier (smaller id, or the same document, earlier
 start) is removed; windows are judged on the input.
 
-Recompression names parts of the text so that equal substrings get equal names inside:
-first runs of one token, then, in rounds, pairs of symbols whose names fall left and
-right by a hash of the name and the round.  A name is a hash of what it stands for, so it
-is the same in every document with no exchange.  Each symbol carries the span of words
-that its being formed depends on.  A symbol whose dependence lies within a window is
-formed in every occurrence of that window: it is an anchor of it.  So a window with an
-anchor that occurs once in the corpus is itself unique, and only windows without such
-an anchor can repeat.  A window with no anchor at all has its own name as one, so no window is
-missed.  The windows that can repeat are verified by 128-bit names of all their words.
-
-Texts are gathered into blocks.  A block sends each distinct name once, packed by hash
-parts; the task of a part counts (anchors) or finds the first place of (windows) each
-name over all blocks and answers with one bit a name.  A name that a third of all texts
-hold is one entry a block, in no task more than the number of blocks.
-
-``docs`` is scanned three times and must give its rows in one order, as a file scan does.
-
-Edge cases: null text has no words; texts shorter than a window keep all; equal ids
-are told apart by the order of the scan; a null id comes after all others.
+Recompression names parts of the text in Spark rounds, so that equal substrings get equal
+names inside.  Runs of one token come first.  In a round, symbols fall left and right by a hash of
+their name and the round, and a left symbol with a right one behind it is a pair.  Blocks of texts
+send their distinct pairs, packed by hash parts; the task of a part holds the round's name
+table: it tells which pairs occur twice or more in the corpus and gives each of these its
+global name (round, number), which replaces the pair in all blocks.  Each symbol carries the
+span of words that its being formed depends on.  A pair whose dependence lies within a window is
+formed in every occurrence of that window, so a window with a pair that occurs once in
+the corpus is itself unique.  Its words leave the rounds, unless another window still needs them,
+and later rounds name ever longer symbols of ever less text.  Where something left, the
+neighbour's dependence is taken as endless, so what is left is judged as in the whole text.
+
+Windows that hold shared symbols only, up to the highest, reveal the repeats.  They are
+verified by names of all their words (two 64-bit halves, from 128-bit hashes of the words); of
+each the task of its part finds the first place.  A name that a third of all texts hold is one
+entry a block, in no task more than the number of blocks.
+
+``docs`` is scanned three times and must give its rows in one order, as a file scan does;
+where a block's pairs differ between scans, an error is raised.
+
+Edge cases: null text has no words; texts shorter than a window keep all; a text of any length
+is one text, in one block; equal ids are told apart by the order of the scan; a null id comes
+after all others; repeated rows repeat each other, so the first keeps its words.  An input
+column with the name of a result column gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,8 +48,8 @@ from pyspark.sql.types import StructField, StructType
 from loomgraph.llm.common import WordHashes, arrow_map, mix64, small_batches, staged
 
 WINDOW = 20
-ROUNDS = 6
-SPAN = (4, 14)
+ROUNDS = 5
+FAR = 2 * WINDOW  # a dependence that no window holds
 BLOCK_BYTES = 8 << 20
 _WORDS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,66 +61,90 @@ def _name(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         return mix64(mix64(a + np.uint64(salt)) * _ODD + b)
 
 
-def anchors(words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the anchors and the span [lo, hi) of words that each depends on.
+class Symbols:
+    """Symbols of a block that are still in play, by place: name, words [start, end), and the words [lo, hi) they depend on.
 
-    ``words``: word hashes of many texts, one after another; ``doc``: number of the text
-    of each word; ``first`` and ``last``: where each word's text begins and ends.  A span
-    that reaches over a text's edge belongs to no window.
+    ``at``: where each text begins, and the number of words; ``live``: flags of the windows that can repeat, by start.
     """
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
-    start = np.flatnonzero(new)
-    end = np.append(start[1:], len(words))
-    symbol, d = words[start], doc[start]
-    runs = end - start > 1
-    symbol = np.where(runs, _name(symbol ^ _RUN, (end - start).astype(np.uint64), 1), symbol)
-    lo, hi = start - 1, end + 1  # a run ends where another token stands
-    names, los, his = [], [], []
-    for r in range(ROUNDS):
-        if len(symbol) < 2:
-            break
-        right = (mix64(symbol + np.uint64(1000003 * (r + 1))) & np.uint64(1)).astype(bool)
-        same = d[1:] == d[:-1]
-        joins = ~right[:-1] & right[1:] & same  # a symbol is left or right, so pairs can't overlap
-        at = np.flatnonzero(joins)
+
+    def __init__(self, arrays: tuple[np.ndarray, ...], at: np.ndarray, live: np.ndarray) -> None:
+        self.name, self.start, self.end, self.lo, self.hi = arrays
+        self.at, self.live = at, live
+        self.doc = np.searchsorted(at, self.start, "right") - 1
+
+    @classmethod
+    def of_words(cls, words: np.ndarray, lengths: np.ndarray) -> Symbols:
+        """Runs of one token; ``words``: word hashes of texts of these lengths, one after another."""
+        at = np.append(0, np.cumsum(lengths))
+        new = np.ones(len(words) + 1, bool)
+        new[1:-1] = words[1:] != words[:-1]
+        new[at] = True
+        start = np.flatnonzero(new[:-1])
+        end = np.append(start[1:], len(words)) if len(start) else start
+        name = words[start]
+        runs = end - start > 1
+        name = np.where(runs, _name(name ^ _RUN, (end - start).astype(np.uint64), 0), name)
+        live = np.arange(len(words)) + WINDOW <= np.repeat(at[1:], lengths)
+        return cls((name, start, end, start - 1, end + 1), at, live)  # a run ends where another token stands
+
+    def pair(self, r: int) -> None:
+        """The pairs of round ``r``: ``left`` (their first symbols), their distinct keys, and which of these each is."""
+        n = len(self.name)
+        right = (mix64(self.name + np.uint64(1000003 * r)) & np.uint64(1)).astype(bool)
+        same = (self.end[:-1] == self.start[1:]) & (self.doc[:-1] == self.doc[1:])
+        self.left = np.flatnonzero(~right[:-1] & right[1:] & same)  # a symbol is left or right, so pairs can't overlap
+        self.keys, self.which, times = np.unique(_name(self.name[self.left], self.name[self.left + 1], r), return_inverse=True, return_counts=True)
+        self.twice = times > 1
         # what stays single depends on the neighbour that it didn't join
-        next_hi, prev_lo = np.append(hi[1:], 0), np.append(0, lo[:-1])
-        no_next, no_prev = np.append(~same, True), np.append(True, ~same)
-        next_hi = np.where(no_next, hi + 1, next_hi)
-        prev_lo = np.where(no_prev, lo - 1, prev_lo)
-        new_hi = np.where(right, hi, np.maximum(hi, next_hi))
-        new_lo = np.where(right, np.minimum(lo, prev_lo), lo)
-        new_lo[at], new_hi[at] = np.minimum(lo[at], lo[at + 1]), np.maximum(hi[at], hi[at + 1])
-        made = _name(symbol[at], symbol[at + 1], 3)
-        symbol = symbol.copy()
-        symbol[at] = made
-        end = end.copy()
-        end[at] = end[at + 1]
-        span = end[at] - start[at]
-        good = (span >= SPAN[0]) & (span <= SPAN[1]) & (new_hi[at] - new_lo[at] <= WINDOW)
-        names.append(made[good])
-        los.append(new_lo[at][good])
-        his.append(new_hi[at][good])
-        stay = np.ones(len(symbol), bool)
-        stay[at + 1] = False
-        symbol, start, end, d, lo, hi = symbol[stay], start[stay], end[stay], d[stay], new_lo[stay], new_hi[stay]
-    if not names:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    name, lo, hi = np.concatenate(names), np.concatenate(los), np.concatenate(his)
-    inside = (lo >= 0) & (lo < len(words)) & (hi <= len(words))
-    name, lo, hi = name[inside], lo[inside], hi[inside]
-    inside = (lo >= first[lo]) & (hi <= last[lo]) & (doc[lo] == doc[hi - 1])
-    return name[inside], lo[inside], hi[inside]
-
-
-def _covered(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """How many of the spans each window start has within its window."""
-    edge = np.zeros(n + 1, np.int64)
-    if len(lo):
-        edge += np.bincount(np.maximum(hi - WINDOW, first[lo]), minlength=n + 1)
-        edge -= np.bincount(lo + 1, minlength=n + 1)
-    return np.cumsum(edge)[:n]
+        next_hi, prev_lo = self.end + FAR, self.start - FAR
+        if n > 1:
+            next_hi[:-1] = np.where(same, self.hi[1:], next_hi[:-1])
+            prev_lo[1:] = np.where(same, self.lo[:-1], prev_lo[1:])
+        lo, hi = np.where(right, np.minimum(self.lo, prev_lo), self.lo), np.where(right, self.hi, np.maximum(self.hi, next_hi))
+        lo[self.left], hi[self.left] = np.minimum(self.lo[self.left], self.lo[self.left + 1]), np.maximum(self.hi[self.left], self.hi[self.left + 1])
+        self.new_lo, self.new_hi = lo, hi
+
+    def settle(self, repeated: np.ndarray, numbers: np.ndarray) -> Symbols:
+        """After :meth:`pair`: windows with a pair that occurs once are dead; the others' pairs get their global names."""
+        shared = repeated[self.which]
+        once = self.left[~shared]
+        lo, hi = self.new_lo[once], self.new_hi[once]
+        first, last = self.at[self.doc[once]], self.at[self.doc[once] + 1]
+        held = (lo >= first) & (hi <= last) & (hi - lo <= WINDOW)
+        edge = np.zeros(len(self.live) + 1, np.int64)
+        edge += np.bincount(np.maximum(hi - WINDOW, first)[held], minlength=len(edge))
+        edge -= np.bincount(lo[held] + 1, minlength=len(edge))
+        live = self.live & (np.cumsum(edge)[:-1] == 0)
+        name, end = self.name.copy(), self.end.copy()
+        name[self.left], end[self.left] = numbers[self.which], end[self.left + 1]
+        covered = np.append(0, np.cumsum(cover(live)))
+        stay = covered[end] - covered[self.start] == end - self.start
+        stay[self.left + 1] = False
+        stay[once] = False
+        return Symbols(tuple(x[stay] for x in (name, self.start, end, self.new_lo, self.new_hi)), self.at, live)
+
+    def packed(self) -> bytes:
+        small = [x.astype("<i4") for x in (self.start, self.end - self.start, self.lo - self.start, self.hi - self.end)]
+        return _pack(np.array([len(self.at), len(self.live), len(self.name)], "<i8"), self.at.astype("<i8"), np.packbits(self.live), self.name.astype("<u8"), *small)
+
+    @classmethod
+    def loaded(cls, blob: bytes) -> Symbols:
+        data = _load(blob)
+        docs, words, n = np.frombuffer(data, "<i8", 3).tolist()
+        at = np.frombuffer(data, "<i8", docs, 24).astype(np.int64)
+        place = 24 + 8 * docs
+        live = np.unpackbits(np.frombuffer(data, np.uint8, (words + 7) // 8, place), count=words).astype(bool)
+        place += (words + 7) // 8
+        name = np.frombuffer(data, "<u8", n, place).astype(np.uint64)
+        start, length, lo, hi = np.frombuffer(data, "<i4", 4 * n, place + 8 * n).astype(np.int64).reshape(4, n)
+        return cls((name, start, start + length, start + lo, start + length + hi), at, live)
+
+
+def cover(starts: np.ndarray) -> np.ndarray:
+    """Flags of the words in the windows at the flagged starts."""
+    at = np.flatnonzero(starts)
+    edge = np.bincount(at, minlength=len(starts) + 1) - np.bincount(at + WINDOW, minlength=len(starts) + 1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def window_names(words: np.ndarray, seed: int) -> np.ndarray:
@@ -130,63 +159,39 @@ def window_names(words: np.ndarray, seed: int) -> np.ndarray:
     return _name(h[:n], four[16 : 16 + n], seed + 9)
 
 
-def names_at(words: np.ndarray, starts: np.ndarray, *seeds: int) -> list[np.ndarray]:
-    """Window names at ``starts`` only: the words of these windows, closed up, have them at the places they move to."""
-    if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in seeds]
-    edge = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + WINDOW, minlength=len(words) + 1)
-    needed = np.cumsum(edge)[:-1] > 0
-    at = (np.cumsum(needed) - 1)[starts]
-    some = words[needed]
-    return [window_names(some, seed)[at] for seed in seeds]
-
-
 #: One memory of word hashes for all blocks of a Python worker.
 _HASHES = WordHashes()
 
 
-class Block:
-    """The words of a block of texts, its distinct anchor names, and which windows can repeat."""
-
-    def __init__(self, texts: list[bytes]) -> None:
-        hashes = _HASHES
-        self.words = [x.split() for x in texts]
-        n = np.fromiter(map(len, self.words), np.int64, len(texts))
-        self.at = np.cumsum(n) - n
-        self.hash = np.concatenate([hashes.of(w) for w in self.words]) if texts else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(texts)), n)
-        self.first, self.last = np.repeat(self.at, n), np.repeat(self.at + n, n)
-        self.is_window = np.arange(len(self.hash)) + WINDOW <= self.last
-        name, self.lo, self.hi = anchors(self.hash, self.doc, self.first, self.last)
-        count = _covered(self.lo, self.hi, self.first, len(self.hash))
-        self.bare = np.flatnonzero(self.is_window & (count == 0))
-        own = names_at(self.hash, self.bare, 77)[0]
-        self.names, self.which, times = np.unique(np.concatenate([name, own]), return_inverse=True, return_counts=True)
-        self.twice = times > 1
+def block_symbols(texts: list[list[bytes]]) -> Symbols:
+    hashes = [_HASHES.of(w) for w in texts]
+    return Symbols.of_words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.fromiter(map(len, texts), np.int64, len(texts)))
 
-    def repeatable(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of windows without an anchor that occurs once; ``repeated`` goes with ``names``."""
-        rare = ~repeated[self.which]
-        n = len(self.lo)
-        single = _covered(self.lo[rare[:n]], self.hi[rare[:n]], self.first, len(self.hash)) > 0
-        single[self.bare[rare[n:]]] = True
-        return np.flatnonzero(self.is_window & ~single)
-
-    def windows(self, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the windows at ``starts``: the distinct ones in order of their names, as the rows (name, name, id,
-        place in its text, place in the block) of the first of each, and the number of the distinct one of each start."""
-        if not len(starts):
-            return np.zeros((5, 0), np.uint64), np.zeros(0, np.int64)
-        a, b = names_at(self.hash, starts, 11, 23)
-        d = ids[self.doc[starts]]
-        place = starts - self.at[self.doc[starts]]
-        order = np.lexsort((starts, place, d, b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        one = order[new]
-        return np.array([a[one], b[one], d[one].astype(np.uint64), place[one].astype(np.uint64), starts[one].astype(np.uint64)]), number
+
+def distinct_windows(words: list[bytes], covered: np.ndarray, starts: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows at ``starts`` in order of their names, as the rows (name, name, id, place in its
+    text, place in the block) of the first of each, and the number of the distinct one of each start.
+
+    ``words``: those that ``covered`` flags, all that the windows need.
+    """
+    if not len(starts):
+        return np.zeros((5, 0), np.uint64), np.zeros(0, np.int64)
+    import xxhash
+
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    full = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), ">u8").reshape(-1, 2).astype(np.uint64)
+    moved = (np.cumsum(covered) - 1)[starts]
+    a, b = (window_names(full[which, side], seed)[moved] for side, seed in ((0, 11), (1, 23)))
+    doc = np.searchsorted(at, starts, "right") - 1
+    d, place = ids[doc], starts - at[doc]
+    order = np.lexsort((starts, place, d, b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    one = order[new]
+    return np.array([a[one], b[one], d[one].astype(np.uint64), place[one].astype(np.uint64), starts[one].astype(np.uint64)]), out
 
 
 def _ids(meta: list, key: str) -> np.ndarray:
@@ -202,19 +207,28 @@ def _load(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+def _dealt(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """The places of the keys of each part."""
+    part_of = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part_of, kind="stable")
+    ends = np.cumsum(np.bincount(part_of, minlength=parts))
+    return [(p, order[a:b]) for p, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if b > a]
 
 
-def _flags(reply: pd.DataFrame, part_of: np.ndarray, name: str) -> np.ndarray:
-    """A block's flags from the parts' answers."""
-    out = np.zeros(len(part_of), bool)
-    for p, n, bits in zip(reply["part"], reply["n"], reply[name], strict=True):
-        mine = np.flatnonzero(part_of == p)
+def _answers(reply: pd.DataFrame, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flag and number of each key, from the parts' answers."""
+    flags, numbers = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64)
+    got = {p: (n, data) for p, n, data in zip(reply["part"], reply["n"], reply["data"], strict=True)}
+    for p, mine in _dealt(keys, parts):
+        n, data = got.get(p, (0, b""))
         if len(mine) != n:
-            raise RuntimeError("a block's words differ between two scans: the input's rows came in another order")
-        out[mine] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return out
+            raise RuntimeError("a block's pairs differ between two scans: the input's rows came in another order")
+        data = _load(data)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8), count=n).astype(bool)
+        flags[mine] = bits
+        if len(data) > (n + 7) // 8:
+            numbers[mine[bits]] = np.frombuffer(data, "<u8", -1, (n + 7) // 8)
+    return flags, numbers
 
 
 def _gathered(batches, block_bytes: int) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -253,6 +267,30 @@ def _cut(text: bytes, gone: np.ndarray) -> bytes:
     return left.lstrip(b" \t\n\v\f\r") if gone[0] else left
 
 
+_STATE, _ASK, _NEEDED = 0, 1, 2
+_PACKED = "kind int, part int, block long, n long, data binary"
+_ROWS = ("kind", "part", "block", "n", "data")
+
+
+def _asks(block: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
+    return [(_ASK, p, block, len(i), _pack(keys[i], *[c[i] for c in columns])) for p, i in _dealt(keys, parts)]
+
+
+def name_table(part: pd.DataFrame, r: int, parts: int) -> pd.DataFrame:
+    """The round's names of a part: for each block which of its pairs the corpus holds twice, and their global names."""
+    n = part["n"].to_numpy()
+    loaded = [_load(x) for x in part["data"]]
+    keys = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(loaded, n, strict=True)])
+    twice = np.concatenate([np.frombuffer(x, np.uint8, k, 8 * k) for x, k in zip(loaded, n, strict=True)]).astype(bool)
+    names, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = times > 1
+    shared[which[twice]] = True
+    number = (np.cumsum(shared) - 1) * parts + int(part["part"].iloc[0]) + (r << 56)
+    flags, numbers, ends = shared[which], number[which].astype("<u8"), np.cumsum(n)
+    data = [_pack(np.packbits(flags[a:b]), numbers[a:b][flags[a:b]]) for a, b in zip(ends - n, ends, strict=True)]
+    return pd.DataFrame({"block": part["block"], "part": part["part"], "n": n, "data": data})
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, digests: bool = False, layout: bool = False, block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
     """All columns but the text, then n_words, n_removed and ``kept``, the words left, joined by a space.
 
@@ -261,47 +299,84 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    others = [f for f in docs.schema.fields if f.name != text]
+    results = ("n_words", "n_removed", "kept_sha256" if digests else "kept")
+    others = [f for f in docs.schema.fields if f.name != text and f.name not in results]
     meta = F.struct(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)])
     key = f"c{[f.name for f in others].index(doc_id)}"
     meta_type = meta_schema(docs, others)
     rows = docs.select(meta.alias("meta"), F.col(f"`{text}`").alias("text"))
-    parts = parts or max(8, rows.rdd.getNumPartitions())
-
-    def ask_names(batches):
-        for block, _, texts in _gathered(batches, block_bytes):
-            b = Block(texts)
-            part_of = (b.names % np.uint64(parts)).astype(np.int64)
-            got = [(p, np.flatnonzero(part_of == p)) for p in np.unique(part_of)]
-            yield {"part": [int(p) for p, _ in got], "block": [block] * len(got), "n": [len(i) for _, i in got], "data": [_pack(b.names[i], b.twice[i].astype(np.uint8)) for _, i in got]}
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        loaded = [_load(x) for x in part["data"]]
-        names = [np.frombuffer(x, np.uint64, n) for x, n in zip(loaded, part["n"], strict=True)]
-        twice = [np.frombuffer(x, np.uint8, n, 8 * n).astype(bool) for x, n in zip(loaded, part["n"], strict=True)]
-        _, which, times = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-        many = (times > 1)[which] | np.concatenate(twice)
-        ends = np.cumsum(part["n"].to_numpy())
-        return pd.DataFrame({"block": part["block"], "part": part["part"], "n": part["n"], "bits": [_bits(x) for x in np.split(many, ends[:-1])]})
+    parts = parts or max(8, rows.rdd.getNumPartitions() // 2)
+    frame = lambda found: pd.DataFrame(found, columns=list(_ROWS))
+
+    def ask_first(batches):
+        for block, _, x in _gathered(batches, block_bytes):
+            s = block_symbols([t.split() for t in x])
+            s.pair(1)
+            found = _asks(block, s.keys, parts, s.twice.astype(np.uint8))
+            yield dict(zip(_ROWS, map(list, zip(*found, strict=True)), strict=True)) if found else {c: [] for c in _ROWS}
 
     def texts(batches):
         for block, m, x in _gathered(batches, block_bytes):
             yield {"block": [block], "meta": [m], "texts": [_packed_texts(x)]}
 
     def opened(text: pd.DataFrame):
-        m = list(text["meta"].iloc[0])
-        return m, _loaded_texts(text["texts"].iloc[0])
-
-    def ask_windows(text: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+        return list(text["meta"].iloc[0]), _loaded_texts(text["texts"].iloc[0])
+
+    def advance(block: int, s: Symbols, r: int, last: bool) -> list[tuple]:
+        """Rows of a block after round ``r``: its symbols, and its pairs of the next round."""
+        if not s.live.any():
+            return []
+        if last:
+            return [(_STATE, 0, block, 0, s.packed())]
+        state = (_STATE, 0, block, 0, s.packed())
+        s.pair(r + 1)
+        return [state, *_asks(block, s.keys, parts, s.twice.astype(np.uint8))]
+
+    def first_round(text: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(text):
-            return pd.DataFrame({"part": [], "block": [], "n": [], "data": []})
+            return frame([])
         m, x = opened(text)
-        b = Block(x)
-        starts = b.repeatable(_flags(reply, (b.names % np.uint64(parts)).astype(np.int64), "bits"))
-        found, _ = b.windows(starts, _ids(m, key))
-        part_of = (found[0] % np.uint64(parts)).astype(np.int64)
-        got = [(p, np.flatnonzero(part_of == p)) for p in np.unique(part_of)]
-        return pd.DataFrame({"part": [int(p) for p, _ in got], "block": [text["block"].iloc[0]] * len(got), "n": [len(i) for _, i in got], "data": [_pack(found[:4, i]) for _, i in got]})
+        words = [t.split() for t in x]
+        s = block_symbols(words)
+        s.pair(1)
+        s = s.settle(*_answers(reply, s.keys, parts))
+        block = int(text["block"].iloc[0])
+        found = advance(block, s, 1, ROUNDS == 1)
+        if found:  # the words that are still needed, for verification
+            flat = [w for t in words for w in t]
+            needed = cover(s.live)
+            found.append((_NEEDED, 0, block, len(m), _pack(_ids(m, key), np.packbits(needed), np.frombuffer(b" ".join([flat[i] for i in np.flatnonzero(needed)]), np.uint8))))
+        return frame(found)
+
+    def next_round(r: int):
+        def run(state: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+            if not len(state):
+                return frame([])
+            s = Symbols.loaded(state["data"].iloc[0])
+            s.pair(r)
+            s = s.settle(*_answers(reply, s.keys, parts))
+            return frame(advance(int(state["block"].iloc[0]), s, r, r == ROUNDS))
+
+        return run
+
+    def windows_of(state: pd.DataFrame, words: pd.DataFrame):
+        """Live starts, distinct windows and the number of each start, of a block."""
+        s = Symbols.loaded(state["data"].iloc[0])
+        n, data = int(words["n"].iloc[0]), _load(words["data"].iloc[0])
+        ids = np.frombuffer(data, np.int64, n)
+        bits = (len(s.live) + 7) // 8
+        then = np.unpackbits(np.frombuffer(data, np.uint8, bits, 8 * n), count=len(s.live)).astype(bool)
+        kept = data[8 * n + bits :].split()
+        now = cover(s.live)
+        starts = np.flatnonzero(s.live)
+        return s, starts, *distinct_windows([kept[i] for i in np.flatnonzero(now[then])], now, starts, s.at, ids)
+
+    def ask_windows(state: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if not len(state):
+            return frame([])
+        _, _, found, _ = windows_of(state, words)
+        block = int(state["block"].iloc[0])
+        return frame([(_ASK, p, block, len(i), _pack(found[:4, i])) for p, i in _dealt(found[0], parts)])
 
     def find_first(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block")  # equal ids: the order of the scan
@@ -312,46 +387,57 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         is_first = np.empty(len(order), bool)
         is_first[order] = new
-        return pd.DataFrame({"block": part["block"], "part": part["part"], "n": n, "first": [_bits(x) for x in np.split(is_first, np.cumsum(n)[:-1])]})
+        return pd.DataFrame({"block": part["block"], "part": part["part"], "n": n, "data": [_pack(np.packbits(x)) for x in np.split(is_first, np.cumsum(n)[:-1])]})
+
+    def removed(held: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+        """The words of a block that go, as flags."""
+        if not len(held):
+            return pd.DataFrame({"block": [], "gone": []})
+        s, starts, found, number = windows_of(held[held["kind"] == _STATE], held[held["kind"] == _NEEDED])
+        first, _ = _answers(reply, found[0], parts)
+        own = np.zeros(len(s.live), bool)
+        own[found[4][first].astype(np.int64)] = True
+        gone = np.zeros(len(s.live), bool)
+        gone[starts[~own[starts]]] = True
+        return pd.DataFrame({"block": [int(held["block"].iloc[0])], "gone": [_pack(np.packbits(cover(gone)))]})
 
     def finish(text: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         m, x = opened(text)
-        b = Block(x)
-        bits = reply[reply["bits"].notna()]
-        starts = b.repeatable(_flags(bits, (b.names % np.uint64(parts)).astype(np.int64), "bits"))
-        found, number = b.windows(starts, _ids(m, key))
-        first = _flags(reply[reply["first"].notna()], (found[0] % np.uint64(parts)).astype(np.int64), "first")
-        is_first = np.zeros(len(b.hash), bool)
-        is_first[found[4][first].astype(np.int64)] = True
-        gone = starts[~is_first[starts]]
-        edge = np.zeros(len(b.hash) + 1, np.int64)
-        if len(gone):
-            edge += np.bincount(gone, minlength=len(edge))
-            edge -= np.bincount(gone + WINDOW, minlength=len(edge))
-        out = np.cumsum(edge)[:-1] > 0
-        removed, kept = [], []
-        for i, w in enumerate(b.words):
-            mine = out[b.at[i] : b.at[i] + len(w)]
+        words = [t.split() for t in x]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(n) - n
+        out = np.unpackbits(np.frombuffer(_load(reply["gone"].iloc[0]), np.uint8), count=int(n.sum())).astype(bool) if len(reply) else np.zeros(int(n.sum()), bool)
+        gone, kept = [], []
+        for i, w in enumerate(words):
+            mine = out[at[i] : at[i] + len(w)]
             k = int(mine.sum())
             left = _cut(x[i], mine) if layout else b" ".join(w if not k else [w[j] for j in np.flatnonzero(~mine)])
-            removed.append(k)
+            gone.append(k)
             kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode())
-        frame = {f"c{i}": pd.Series([r[f"c{i}"] for r in m], dtype=object) for i in range(len(others))}
-        return pd.DataFrame(frame | {"n_words": [len(w) for w in b.words], "n_removed": removed, "kept": kept})
-
-    packed_type = "part int, block long, n long, data binary"
-    packed_schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-    names = rows.mapInArrow(arrow_map(ask_names, packed_schema), packed_type)
-    bits = names.groupBy("part").applyInPandas(count, "block long, part int, n long, bits binary")
-    bits = staged(bits, "recompression")
+        columns = {f"c{i}": pd.Series([r[f"c{i}"] for r in m], dtype=object) for i in range(len(others))}
+        return pd.DataFrame(columns | {"n_words": n, "n_removed": gone, "kept": kept})
+
+    packed_schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
     text_schema = pa.schema([("block", pa.int64()), ("meta", pa.list_(to_arrow_type(meta_type))), ("texts", pa.binary())])
     blocks = rows.mapInArrow(arrow_map(texts, text_schema), f"block long, meta array<{meta_type.simpleString()}>, texts binary")
-    windows = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInPandas(ask_windows, packed_type)
-    first = windows.groupBy("part").applyInPandas(find_first, "block long, part int, n long, first binary")
-    replies = bits.withColumn("first", F.lit(None).cast("binary")).unionByName(first.withColumn("bits", F.lit(None).cast("binary")))
+    told = "block long, part int, n long, data binary"
+
+    def table(asked: DataFrame, r: int) -> DataFrame:
+        return asked.groupBy("part").applyInPandas(lambda part: name_table(part, r, parts), told)
+
+    state = staged(blocks.groupBy("block").cogroup(table(rows.mapInArrow(arrow_map(ask_first, packed_schema), _PACKED), 1).groupBy("block")).applyInPandas(first_round, _PACKED), "round-1")
+    words = state.where(F.col("kind") == _NEEDED)
+    for r in range(2, ROUNDS + 1):
+        reply = table(state.where(F.col("kind") == _ASK), r)
+        state = staged(state.where(F.col("kind") == _STATE).groupBy("block").cogroup(reply.groupBy("block")).applyInPandas(next_round(r), _PACKED), f"round-{r}")
+    left = state.where(F.col("kind") == _STATE)
+    asked = left.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask_windows, _PACKED)
+    first = asked.groupBy("part").applyInPandas(find_first, told)
+    held = left.unionByName(words.join(left.select("block"), "block", "left_semi"))
+    gone = held.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(removed, "block long, gone binary")
     fields = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(others)] + ["n_words long, n_removed long, kept string"])
-    done = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(finish, fields)
-    return done.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(others)], "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digests else "kept"))
+    done = blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(finish, fields)
+    return done.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(others)], "n_words", "n_removed", F.col("kept").alias(results[2]))
 
 
 def meta_schema(docs: DataFrame, others: list):

@@ -68,17 +68,51 @@ def test_substrings(docs, none):
     assert all(kept[d] == (x or "") for d, x in clean.items() if d != 5)
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=60), min_size=1, max_size=4), st.integers(0, 3))
-def test_no_repeat_is_missed(lists, seed):
-    """Windows that occur twice have no anchor that occurs once, also in texts of few words, with runs and periods."""
-    block = substrings.Block([" ".join(x).encode() for x in lists])
+def rounds(lists, rounds=substrings.ROUNDS):
+    """Symbols after the rounds, with a name table of one block, and the words."""
+    words = [" ".join(x).encode().split() for x in lists]
+    s = substrings.block_symbols(words)
+    for r in range(1, rounds + 1):
+        s.pair(r)
+        s = substrings.Symbols.loaded(s.settle(s.twice, np.arange(len(s.keys), dtype=np.uint64) + np.uint64(r << 56)).packed())
+    return s, words
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=70), min_size=1, max_size=4), st.lists(st.integers(0, 30), max_size=3))
+def test_no_repeat_is_missed(lists, copies):
+    """Windows that occur twice stay in play, also in texts of few words, with runs, periods and copied passages."""
+    lists = lists + [lists[0][k : k + 30] + lists[-1][:k] for k in copies]
+    s, words = rounds(lists)
     windows = defaultdict(list)
-    for i, w in enumerate(block.words):
+    for i, w in enumerate(words):
         for k in range(len(w) - 19):
-            windows[tuple(w[k : k + 20])].append(int(block.at[i]) + k)
-    may = set(block.repeatable(block.twice).tolist())
-    assert {s for at in windows.values() if len(at) > 1 for s in at} <= may
+            windows[tuple(w[k : k + 20])].append(int(s.at[i]) + k)
+    assert {x for at in windows.values() if len(at) > 1 for x in at} <= set(np.flatnonzero(s.live).tolist())
+
+
+def test_rounds_leave_repeats_only():
+    """Of ordinary text, little but the repeats is left to verify, and equal passages hold equal high symbols."""
+    rng = np.random.default_rng(6)
+    text = lambda n: [f"w{int(i)}" for i in rng.zipf(1.3, n) % 3000]
+    passage = text(60)
+    lists = [text(400) + passage + text(400) for _ in range(3)] + [text(3000)]
+    s, words = rounds(lists)
+    own = np.zeros(len(s.live), bool)
+    for i in range(3):
+        own[s.at[i] + 400 : s.at[i] + 441] = True
+    assert s.live[own].all() and (s.live & ~own).sum() < 0.02 * len(s.live)
+    inside = [{int(n) for n, a, b in zip(s.name, s.start, s.end) if n >> np.uint64(56) and s.at[i] + 410 <= a and b <= s.at[i] + 450} for i in range(3)]
+    assert inside[0] and inside[0] == inside[1] == inside[2]
+
+
+def test_substrings_names_of_results(spark):
+    """Input columns named as results give way; copies of a row repeat the first."""
+    text = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(1, text, 7, "x")] * 2 + [(None, text, 7, "x")], "doc_id long, text string, n_words int, kept string").coalesce(1)
+    got = substrings.remove_repeats(df)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept"]
+    assert sorted(tuple(r)[1:3] for r in got.collect()) == [(25, 0), (25, 25), (25, 25)]
 
 
 def test_near_duplicates(spark, none, tmp_path):
