@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from loomgraph.llm.common import WordHashes, arrow_map, mix64, small_batches, staged
+from loomgraph.llm.common import WordHashes, arrow_map, mix64, release, small_batches, staged, unstage
 
 WINDOW = 20
 ROUNDS = 5
@@ -124,20 +124,27 @@ class Symbols:
         return Symbols(tuple(x[stay] for x in (name, self.start, end, self.new_lo, self.new_hi)), self.at, live)
 
     def packed(self) -> bytes:
-        small = [x.astype("<i4") for x in (self.start, self.end - self.start, self.lo - self.start, self.hi - self.end)]
-        return _pack(np.array([len(self.at), len(self.live), len(self.name)], "<i8"), self.at.astype("<i8"), np.packbits(self.live), self.name.astype("<u8"), *small)
+        """Names once each and their numbers, gaps and widths, byte by byte, so that little is left after compression."""
+        names, which = np.unique(self.name, return_inverse=True)
+        gap = self.start - np.append(0, self.end[:-1]) if len(self.start) else self.start
+        columns = np.array([which, gap, self.end - self.start, self.start - self.lo, self.hi - self.end], "<i4")
+        planes = columns.view(np.uint8).reshape(5, -1, 4).transpose(0, 2, 1)
+        return _pack(np.array([len(self.at), len(self.live), len(self.name), len(names)], "<i8"), np.diff(self.at, prepend=0).astype("<i8"), np.packbits(self.live), names.astype("<u8"), np.ascontiguousarray(planes))
 
     @classmethod
     def loaded(cls, blob: bytes) -> Symbols:
         data = _load(blob)
-        docs, words, n = np.frombuffer(data, "<i8", 3).tolist()
-        at = np.frombuffer(data, "<i8", docs, 24).astype(np.int64)
-        place = 24 + 8 * docs
+        docs, words, n, k = np.frombuffer(data, "<i8", 4).tolist()
+        at = np.cumsum(np.frombuffer(data, "<i8", docs, 32))
+        place = 32 + 8 * docs
         live = np.unpackbits(np.frombuffer(data, np.uint8, (words + 7) // 8, place), count=words).astype(bool)
         place += (words + 7) // 8
-        name = np.frombuffer(data, "<u8", n, place).astype(np.uint64)
-        start, length, lo, hi = np.frombuffer(data, "<i4", 4 * n, place + 8 * n).astype(np.int64).reshape(4, n)
-        return cls((name, start, start + length, start + lo, start + length + hi), at, live)
+        names = np.frombuffer(data, "<u8", k, place).astype(np.uint64)
+        planes = np.frombuffer(data, np.uint8, 20 * n, place + 8 * k).reshape(5, 4, n).transpose(0, 2, 1)
+        which, gap, length, before, after = np.ascontiguousarray(planes).view("<i4").reshape(5, n).astype(np.int64)
+        end = np.cumsum(gap + length)
+        start = end - length
+        return cls((names[which], start, end, start - before, end + after), at, live)
 
 
 def cover(starts: np.ndarray) -> np.ndarray:
@@ -426,10 +433,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return asked.groupBy("part").applyInPandas(lambda part: name_table(part, r, parts), told)
 
     state = staged(blocks.groupBy("block").cogroup(table(rows.mapInArrow(arrow_map(ask_first, packed_schema), _PACKED), 1).groupBy("block")).applyInPandas(first_round, _PACKED), "round-1")
+    release(spark)  # texts and pairs of the first round
     words = state.where(F.col("kind") == _NEEDED)
     for r in range(2, ROUNDS + 1):
         reply = table(state.where(F.col("kind") == _ASK), r)
+        before = state
         state = staged(state.where(F.col("kind") == _STATE).groupBy("block").cogroup(reply.groupBy("block")).applyInPandas(next_round(r), _PACKED), f"round-{r}")
+        if r > 2:  # the first is read again for its words, the others are done with
+            unstage(before)
+        release(spark)
     left = state.where(F.col("kind") == _STATE)
     asked = left.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask_windows, _PACKED)
     first = asked.groupBy("part").applyInPandas(find_first, told)
