@@ -17,7 +17,7 @@ and later rounds name ever longer symbols of ever less text.  Where something le
 neighbour's dependence is taken as endless, so what is left is judged as in the whole text.
 
 Windows that hold shared symbols only, up to the highest, reveal the repeats.  They are
-verified by names of all their words (two 64-bit halves, from 128-bit hashes of the words); of
+verified by names of all their words (96 bits, from two independent 64-bit hashes of each word); of
 each the task of its part finds the first place.  A name that a third of all texts hold is one
 entry a block, in no task more than the number of blocks.
 
@@ -214,6 +214,21 @@ def _load(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _planes(values: np.ndarray, kind: str) -> np.ndarray:
+    """The values' bytes, all first ones first, so that the high ones compress."""
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T)
+
+
+def _unplaned(data: bytes, kind: str, n: int, place: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, place).reshape(width, n).T).view(kind).ravel()
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of ascending keys; their sums give the keys back."""
+    return _planes(np.diff(ordered, prepend=np.uint64(0)), "<u8")
+
+
 def _dealt(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     """The places of the keys of each part."""
     part_of = (keys % np.uint64(parts)).astype(np.int64)
@@ -255,7 +270,10 @@ def _gathered(batches, block_bytes: int) -> Iterator[tuple[int, list, list[bytes
 
 
 def _packed_texts(texts: list[bytes]) -> bytes:
-    return _pack(np.array([len(texts)], "<u4"), np.fromiter(map(len, texts), "<u4", len(texts)), np.frombuffer(b"".join(texts), np.uint8))
+    """Texts of a block, compressed with all of the block in reach, as they are moved twice."""
+    parameters = zstandard.ZstdCompressionParameters.from_level(6, window_log=23)
+    lengths = np.fromiter(map(len, texts), "<u4", len(texts))
+    return zstandard.ZstdCompressor(compression_params=parameters).compress(np.array([len(texts)], "<u4").tobytes() + lengths.tobytes() + b"".join(texts))
 
 
 def _loaded_texts(blob: bytes) -> list[bytes]:
@@ -279,15 +297,33 @@ _PACKED = "kind int, part int, block long, n long, data binary"
 _ROWS = ("kind", "part", "block", "n", "data")
 
 
-def _asks(block: int, keys: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
-    return [(_ASK, p, block, len(i), _pack(keys[i], *[c[i] for c in columns])) for p, i in _dealt(keys, parts)]
+def _asks(block: int, keys: np.ndarray, parts: int, twice: np.ndarray) -> list[tuple]:
+    """Requests of a block for its distinct pairs, which are in order."""
+    return [(_ASK, p, block, len(i), _pack(_steps(keys[i]), twice[i].astype(np.uint8))) for p, i in _dealt(keys, parts)]
+
+
+def _window_asks(block: int, found: np.ndarray, parts: int) -> list[tuple]:
+    """Requests for distinct windows: 96 bits of their names, and document and place of the first of each."""
+    out = []
+    for p, i in _dealt(found[0], parts):
+        docs, which = np.unique(found[2, i], return_inverse=True)
+        data = _pack(_steps(found[0, i]), _planes(found[1, i] & np.uint64(0xFFFFFFFF), "<u4"), _planes(which, "<u4"), _planes(found[3, i], "<u4"), docs)
+        out.append((_ASK, p, block, len(i), data))
+    return out
+
+
+def _asked_windows(blob: bytes, n: int) -> np.ndarray:
+    data = _load(blob)
+    a = np.cumsum(_unplaned(data, "<u8", n, 0), dtype=np.uint64)
+    b, which, place = (_unplaned(data, "<u4", n, (8 + 4 * k) * n).astype(np.uint64) for k in range(3))
+    return np.array([a, b, np.frombuffer(data, np.uint64, -1, 20 * n)[which.astype(np.int64)], place])
 
 
 def name_table(part: pd.DataFrame, r: int, parts: int) -> pd.DataFrame:
     """The round's names of a part: for each block which of its pairs the corpus holds twice, and their global names."""
     n = part["n"].to_numpy()
     loaded = [_load(x) for x in part["data"]]
-    keys = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(loaded, n, strict=True)])
+    keys = np.concatenate([np.cumsum(_unplaned(x, "<u8", k, 0), dtype=np.uint64) for x, k in zip(loaded, n, strict=True)])
     twice = np.concatenate([np.frombuffer(x, np.uint8, k, 8 * k) for x, k in zip(loaded, n, strict=True)]).astype(bool)
     names, which, times = np.unique(keys, return_inverse=True, return_counts=True)
     shared = times > 1
@@ -319,7 +355,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for block, _, x in _gathered(batches, block_bytes):
             s = block_symbols([t.split() for t in x])
             s.pair(1)
-            found = _asks(block, s.keys, parts, s.twice.astype(np.uint8))
+            found = _asks(block, s.keys, parts, s.twice)
             yield dict(zip(_ROWS, map(list, zip(*found, strict=True)), strict=True)) if found else {c: [] for c in _ROWS}
 
     def texts(batches):
@@ -337,7 +373,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return [(_STATE, 0, block, 0, s.packed())]
         state = (_STATE, 0, block, 0, s.packed())
         s.pair(r + 1)
-        return [state, *_asks(block, s.keys, parts, s.twice.astype(np.uint8))]
+        return [state, *_asks(block, s.keys, parts, s.twice)]
 
     def first_round(text: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         if not len(text):
@@ -382,13 +418,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not len(state):
             return frame([])
         _, _, found, _ = windows_of(state, words)
-        block = int(state["block"].iloc[0])
-        return frame([(_ASK, p, block, len(i), _pack(found[:4, i])) for p, i in _dealt(found[0], parts)])
+        return frame(_window_asks(int(state["block"].iloc[0]), found, parts))
 
     def find_first(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block")  # equal ids: the order of the scan
         n = part["n"].to_numpy()
-        a, b, d, place = np.concatenate([np.frombuffer(_load(x), np.uint64).reshape(4, k) for x, k in zip(part["data"], n, strict=True)], axis=1)
+        a, b, d, place = np.concatenate([_asked_windows(x, k) for x, k in zip(part["data"], n, strict=True)], axis=1)
         order = np.lexsort((np.repeat(np.arange(len(n)), n), place, d.astype(np.int64), b, a))
         new = np.ones(len(order), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
