@@ -469,13 +469,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     state = staged(blocks.groupBy("block").cogroup(table(rows.mapInArrow(arrow_map(ask_first, packed_schema), _PACKED), 1).groupBy("block")).applyInPandas(first_round, _PACKED), "round-1")
     release(spark)  # texts and pairs of the first round
-    words = state.where(F.col("kind") == _NEEDED)
+    words = staged(state.where(F.col("kind") == _NEEDED), "needed-words")
     for r in range(2, ROUNDS + 1):
         reply = table(state.where(F.col("kind") == _ASK), r)
         before = state
         state = staged(state.where(F.col("kind") == _STATE).groupBy("block").cogroup(reply.groupBy("block")).applyInPandas(next_round(r), _PACKED), f"round-{r}")
-        if r > 2:  # the first is read again for its words, the others are done with
-            unstage(before)
+        unstage(before)
         release(spark)
     left = state.where(F.col("kind") == _STATE)
     asked = left.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask_windows, _PACKED)

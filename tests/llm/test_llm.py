@@ -469,6 +469,22 @@ def test_pipeline(spark, sf_dir):
     assert whole and all(any(q["decoded_sha256"] == digest(clean[r["doc_id"]]) for q in out if q["doc_id"] == r["doc_id"]) for r in whole)
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, extra columns and an empty table, through all stages."""
+    import corpus_pipeline as P
+
+    rows = [(d, x, la, s, None if x is None else len(x), 1, 2) for d, x, la, s in brute.rows()]
+    df = spark.createDataFrame(rows, SCHEMA + ", n_chars long, _rid int, kept int").coalesce(1)
+    df.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    df.where("false").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    out = P.run(spark, str(tmp_path / "a")).collect()
+    ids = {r["doc_id"] for r in out}
+    assert ids and not ids & {60, 61, 62, 70} and len(ids & {5}) <= 1 and not {0, 63} <= ids
+    assert P.run(spark, str(tmp_path / "b")).count() == 0
+    table = P.identify_language(spark, spark.read.parquet(str(tmp_path / "a" / "documents.parquet")), "").collect()
+    assert {r["doc_id"] for r in table} == {r[0] for r in rows} - {60, 61, 62, 70} and all(r["lang"] for r in table)
+
+
 def test_page_captures(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert page_captures(pages).count() == 2 * pages.count() and "ROWS" in OP10_SQL
