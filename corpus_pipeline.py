@@ -10,6 +10,15 @@
 
 A stage works on all rows that its predecessor kept, and all but the last return the
 columns of ``documents``.  :func:`run` writes each stage's result to the shared folder.
+
+A text of two languages in equal parts stays: the estimate puts its larger proportion near a
+half, on either side, so the floor is two fifths; three or more languages without a larger one go.
+
+Edge cases: texts that are null, empty or without a letter have no language and go in the first
+stage, so an empty table, or one of such texts, gives an empty result; a null ``lang`` is filled
+in, and a null ``source`` is a source of its own; repeated rows are copies, of which one stays; of
+rows with one id the order of the scan decides; texts are read whole, however long.  Columns
+besides those of ``documents``, whatever their names, are left out in the first stage.
 """
 
 from __future__ import annotations
