@@ -7,13 +7,18 @@ each trigram is shared out among the languages in proportion to ``share * likeli
 and the shares are what they received.  The language set is chosen by penalised
 likelihood: one language unless a larger set raises the log-likelihood by more than
 ``0.5 * ln(n) + slack * n`` for each language more (n trigrams).  The prediction is the
-largest proportion of the chosen set, which is also the score.
-
-Edge cases: null text, or text without a letter (Unicode category L), is ``und`` with score 0;
+largest proportion of the chosen set, which is also the score.  ``lang_fit`` says how well the
+chosen set explains the text: the gain of its log-likelihood a trigram over that of a text
+whose trigrams fall on all buckets alike.  ``lang_known`` is false where the fit is below
+``LEAST_FIT`` of what the predicted language's own texts have on average, by more than
+``DEVIATIONS`` standard errors of their trigrams over the text's length: the text is then in no
+learned language, while a short one of a learned language stays within its spread.
+
+Edge cases: null text, or text without a letter (Unicode category L), is ``und`` with score and fit 0, not known;
 so is every text if nothing was learned; a null label is not learned from; one class gives
 score 1.  Equal likelihoods go to the language that comes first by name.  Repeated rows are
 rows of their own, in learning and prediction; texts are read whole, however long; ``keep``
-columns of any name but ``_text``, ``lang_pred``, ``score`` and ``lang_set`` pass through
+columns of any name but ``_text`` and the result's five pass through
 (these raise an error); an empty table gives an empty result.
 """
 
@@ -31,6 +36,8 @@ from loomgraph.llm.common import arrow_map, small_batches
 
 GRAMS = 8192
 SLACK = 0.02
+LEAST_FIT, DEVIATIONS = 1 / 3, 4.0
+_FOUND = ("lang_pred", "score", "lang_set", "lang_fit", "lang_known")
 _LETTER = regex.compile(r"\p{L}")
 _SPACED = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 
@@ -102,7 +109,12 @@ def _mixture(counts: np.ndarray, p: np.ndarray, starts: np.ndarray, totals: np.n
 
 def infer(texts: list[str | None], names: list[str], logp: np.ndarray, slack: float = SLACK, rounds: int = 30) -> list[tuple[str, float, str]]:
     """(language, its proportion, the language set as text) of each text."""
-    out = [("und", 0.0, "")] * len(texts)
+    return [x[:3] for x in explain(texts, names, logp, slack, rounds)]
+
+
+def explain(texts: list[str | None], names: list[str], logp: np.ndarray, slack: float = SLACK, rounds: int = 30) -> list[tuple[str, float, str, float, bool]]:
+    """What :func:`infer` gives, the fit, and whether the language is known."""
+    out = [("und", 0.0, "", 0.0, False)] * len(texts)
     found, grams, counts = [], [], []
     for i, x in enumerate(texts):
         if names and x and _LETTER.search(x):
@@ -121,42 +133,50 @@ def infer(texts: list[str | None], names: list[str], logp: np.ndarray, slack: fl
     single = np.add.reduceat(log * counts[:, None], starts)
     share, joint = _mixture(counts, np.exp(log), starts, totals, rounds)
     cost = 0.5 * np.log(totals) + slack * totals
+    even, p = -np.log(logp.shape[1]), np.exp(logp)
+    usual = (p * logp).sum(1) - even
+    spread = np.sqrt((p * (logp - even - usual[:, None]) ** 2).sum(1))
+
+    def answer(k: int, top: int, share: float, some: str, likelihood: float) -> tuple[str, float, str, float, bool]:
+        fit = likelihood / totals[k] - even
+        return names[top], share, some, float(fit), bool(fit >= LEAST_FIT * usual[top] - DEVIATIONS * spread[top] / np.sqrt(totals[k]))
+
     for k, i in enumerate(found):
         one = int(single[k].argmax())
         if joint[k] - single[k, one] <= cost[k]:
-            out[i] = (names[one], 1.0, names[one])
+            out[i] = answer(k, one, 1.0, names[one], single[k, one])
             continue
         order, own = np.argsort(-share[k], kind="stable"), slice(starts[k], starts[k] + lengths[k])
-        best = (single[k, one] - cost[k], np.array([one]), np.array([1.0]))
+        best = (single[k, one] - cost[k], np.array([one]), np.array([1.0]), single[k, one])
         for size in range(2, len(names) + 1):
             some = order[:size]
             part, ll = _mixture(counts[own], np.exp(log[own][:, some]), np.array([0]), totals[k : k + 1], rounds)
             if ll[0] - size * cost[k] <= best[0]:
                 break
-            best = (ll[0] - size * cost[k], some, part[0])
-        _, some, part = best
+            best = (ll[0] - size * cost[k], some, part[0], ll[0])
+        _, some, part, reached = best
         top = int(part.argmax())
-        out[i] = (names[some[top]], float(min(1.0, part[top])), "+".join(sorted(names[j] for j in some)))
+        out[i] = answer(k, some[top], float(min(1.0, part[top])), "+".join(sorted(names[j] for j in some)), reached)
     return out
 
 
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "text", keep: list[Column] = (), slack: float = SLACK) -> DataFrame:
-    """The ``keep`` columns of each row, and lang_pred, score, lang_set."""
+    """The ``keep`` columns of each row, and lang_pred, score, lang_set, lang_fit, lang_known."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((names, logp))
     rows = docs.select(F.col(f"`{text}`").alias("_text"), *keep)
     kept = rows.schema.fields[1:]
-    if taken := {f.name for f in kept} & {"_text", "lang_pred", "score", "lang_set"}:
+    if taken := {f.name for f in kept} & {"_text", *_FOUND}:
         raise ValueError(f"columns to keep have names of the result: {sorted(taken)}")
 
     def run(batches):
         names, logp = shipped.value
         for b in batches:
-            got = infer(b.column(0).to_pylist(), names, logp, slack)
+            got = explain(b.column(0).to_pylist(), names, logp, slack)
             cols = [b.column(i + 1) for i in range(len(kept))]
-            extra = [pa.array([x[j] for x in got], t) for j, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*(f.name for f in kept), "lang_pred", "score", "lang_set"])
+            extra = [pa.array([x[j] for x in got], t) for j, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*cols, *extra], names=[*(f.name for f in kept), *_FOUND])
 
     small_batches(spark)
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, lang_set string"])
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, lang_set string, lang_fit double, lang_known boolean"])
     return rows.mapInArrow(run, out)

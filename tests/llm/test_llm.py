@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -293,6 +294,23 @@ def test_language(docs, none):
     assert (mixed, both, one, single) == ("en", "en+fr", "fr", "fr") and abs(share - 2 / 3) < 0.1 and whole == 1.0
 
 
+def test_language_that_none_learned():
+    """Gibberish, other scripts and a left-out language don't fit; texts of learned languages do, however short."""
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["text"] and r["lang"]]
+    table = lambda names: np.array([sum(language.gram_counts(r["text"]) for r in rows[::2] if r["lang"] == la) for la in names]) + 0.5
+    model = lambda names: (names, np.log(table(names) / table(names).sum(1, keepdims=True)))
+    names, logp = model(["de", "en", "es", "fr"])
+    assert all(x[4] or x[0] == "und" for x in language.explain([r["text"] for r in rows[1::2]], names, logp))
+    rng = np.random.default_rng(2)
+    noise = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n)) for n in (20, 100, 1000)]
+    foreign = language.explain([*noise, "Съешь ещё этих мягких булок", "這是一個測試文本" * 5, "12 34", None], names, logp)
+    assert not any(x[4] for x in foreign) and [x[0] for x in foreign[-2:]] == ["und", "und"]
+    for left_out in names:
+        some, fewer = model([x for x in names if x != left_out])
+        found = language.explain([r["text"] for r in rows[1::2] if r["lang"] == left_out and len(r["text"]) > 2000], some, fewer)
+        assert found and np.mean([x[4] for x in found]) < 0.1
+
+
 def test_toxicity(spark, docs):
     bad, good = [f"the quiet w{i} said you wretchword{i % 3} again" for i in range(80)], [f"the quiet w{i} said you friend again" for i in range(80)]
     model = toxicity.fit(bad[:60], good[:60])
