@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each calling one training-data operator.
 
-1. ``language``: documents without a language, or with no language that holds two fifths
-   of the text, go; a null ``lang`` becomes the predicted one.
+1. ``language``: documents without a language, in a language that none learned resembles, or
+   with no language that holds two fifths of the text, go; a null ``lang`` becomes the predicted one.
 2. ``near_duplicates``: one document of each near-duplicate group stays.
 3. ``repeated_passages``: words in 20-word windows that occur earlier go; ``n_chars`` follows.
 4. ``mix``: documents are repeated to their source's target: whole copies as rows of their
@@ -37,7 +37,7 @@ LEAST_SHARE = 0.4
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, logp = language.learn(docs, ~held_out(F.col("doc_id"), 4, 2))
     found = language.predict(docs, names, logp, keep=[F.col(c) for c in COLUMNS])
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    kept = found.where(F.col("lang_known") & (F.col("score") >= LEAST_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
