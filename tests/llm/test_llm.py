@@ -503,6 +503,19 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in table} == {r[0] for r in rows} - {60, 61, 62, 70} and all(r["lang"] for r in table)
 
 
+def test_pipeline_rejects_by_language(spark, sf_dir):
+    """Text without a letter, of random letters or in an unlearned language goes; all documents stay."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS)
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(300))
+    odd = [(10**6 + i, x, None, "odd", 0) for i, x in enumerate([None, "", "12 ½ 34", noise, "這是一個測試文本 " * 40, "Съешь ещё этих мягких французских булок, да выпей чаю. " * 9])]
+    kept = P.identify_language(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), sf_dir)
+    want = {r["doc_id"] for r in docs.where("rlike(text, '\\\\p{L}')").select("doc_id").collect()}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
+
+
 def test_page_captures(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert page_captures(pages).count() == 2 * pages.count() and "ROWS" in OP10_SQL
