@@ -34,7 +34,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -166,13 +167,14 @@ def window_names(words: np.ndarray, seed: int) -> np.ndarray:
     return _name(h[:n], four[16 : 16 + n], seed + 9)
 
 
-#: One memory of word hashes for all blocks of a Python worker.
-_HASHES = WordHashes()
+#: One memory of word hashes for all blocks of a Python worker, which idles between tasks and keeps it.
+_HASHES = WordHashes(150_000)
 
 
-def block_symbols(texts: list[list[bytes]]) -> Symbols:
+def block_symbols(texts: Iterable[list[bytes]]) -> Symbols:
+    """Symbols of texts given by their words, best one by one, as the words of a whole block take many times its size."""
     hashes = [_HASHES.of(w) for w in texts]
-    return Symbols.of_words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.fromiter(map(len, texts), np.int64, len(texts)))
+    return Symbols.of_words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.fromiter(map(len, hashes), np.int64, len(hashes)))
 
 
 def distinct_windows(words: list[bytes], covered: np.ndarray, starts: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,7 +355,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def ask_first(batches):
         for block, _, x in _gathered(batches, block_bytes):
-            s = block_symbols([t.split() for t in x])
+            s = block_symbols(t.split() for t in x)
             s.pair(1)
             found = _asks(block, s.keys, parts, s.twice)
             yield dict(zip(_ROWS, map(list, zip(*found, strict=True)), strict=True)) if found else {c: [] for c in _ROWS}
@@ -379,16 +381,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not len(text):
             return frame([])
         m, x = opened(text)
-        words = [t.split() for t in x]
-        s = block_symbols(words)
+        s = block_symbols(t.split() for t in x)
         s.pair(1)
         s = s.settle(*_answers(reply, s.keys, parts))
         block = int(text["block"].iloc[0])
         found = advance(block, s, 1, ROUNDS == 1)
         if found:  # the words that are still needed, for verification
-            flat = [w for t in words for w in t]
             needed = cover(s.live)
-            found.append((_NEEDED, 0, block, len(m), _pack(_ids(m, key), np.packbits(needed), np.frombuffer(b" ".join([flat[i] for i in np.flatnonzero(needed)]), np.uint8))))
+            mine = [needed[a:b] for a, b in zip(s.at[:-1], s.at[1:], strict=True)]
+            some = b" ".join([b" ".join(compress(t.split(), n)) for t, n in zip(x, mine, strict=True) if n.any()])
+            found.append((_NEEDED, 0, block, len(m), _pack(_ids(m, key), np.packbits(needed), np.frombuffer(some, np.uint8))))
         return frame(found)
 
     def next_round(r: int):
@@ -445,15 +447,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def finish(text: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
         m, x = opened(text)
-        words = [t.split() for t in x]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.cumsum(n) - n
-        out = np.unpackbits(np.frombuffer(_load(reply["gone"].iloc[0]), np.uint8), count=int(n.sum())).astype(bool) if len(reply) else np.zeros(int(n.sum()), bool)
-        gone, kept = [], []
-        for i, w in enumerate(words):
-            mine = out[at[i] : at[i] + len(w)]
+        out = np.unpackbits(np.frombuffer(_load(reply["gone"].iloc[0]), np.uint8)).astype(bool) if len(reply) else None
+        n, gone, kept, at = [], [], [], 0
+        for t in x:
+            w = t.split()
+            mine = np.zeros(len(w), bool) if out is None else out[at : at + len(w)]
             k = int(mine.sum())
-            left = _cut(x[i], mine) if layout else b" ".join(w if not k else [w[j] for j in np.flatnonzero(~mine)])
+            left = _cut(t, mine) if layout else b" ".join(compress(w, ~mine) if k else w)
+            at += len(w)
+            n.append(len(w))
             gone.append(k)
             kept.append(hashlib.sha256(left).hexdigest() if digests else left.decode())
         columns = {f"c{i}": pd.Series([r[f"c{i}"] for r in m], dtype=object) for i in range(len(others))}
